@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from .bpe import op5_bpe
+from .language_id import op7_language_id
 from .packing import op2_packing
+from .quality_rules import op6_quality_rules
 from .simhash import op4_simhash
+from .toxicity import op8_toxicity
 
-QUERIES = {f.__name__: f for f in (op2_packing, op4_simhash, op5_bpe)}
+QUERIES = {f.__name__: f for f in (op2_packing, op4_simhash, op5_bpe, op6_quality_rules, op7_language_id, op8_toxicity)}
 ORACLES: dict[str, str] = {}
