@@ -180,6 +180,23 @@ def scored(docs: DataFrame, model: tuple[dict[str, float], tuple[float, float, f
     return common.map_rows(docs.select(id_col, text_col), rows, f"{id_col} bigint, score double, n_matches bigint, n_words bigint")
 
 
+def kept(docs: DataFrame, model: tuple[dict[str, float], tuple[float, float, float]], text_col: str = "text", least: float = 0.5) -> DataFrame:
+    """The rows of docs, with all their columns, whose text scores below `least`."""
+    shared, at, schema = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col), docs.schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lexicon, curve = shared.value
+        found = automaton(lexicon)
+        for batch in batches:
+            clean = []
+            for begin in range(0, batch.num_rows, common.ROWS_AT_ONCE):
+                measured = (matches(found, t) for t in batch.column(at).slice(begin, common.ROWS_AT_ONCE).to_pylist())
+                clean += [score(curve, w, size) < least for w, _, size in measured]
+            yield batch.filter(pa.array(clean, pa.bool_()))
+
+    return docs.mapInArrow(run, schema)
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = common.read_table(spark, sf_dir, "documents"), common.read_table(spark, sf_dir, "labels")
     out = scored(docs, trained(docs, labels.where(~held_out())))
