@@ -65,7 +65,7 @@ def neighbours(ids: DataFrame) -> DataFrame:
     low, high, n = ids.where(F.col("key") > NO_ID).agg(F.min("key"), F.max("key"), F.count("*")).first()
     windows = max(1, min(MOST_WINDOWS, (n or 0) // IDS_IN_WINDOW))
     width = (float(high or 0) - float(low or 0)) / windows + 1
-    placed = ids.withColumn("at", F.greatest(F.lit(0), F.floor((F.col("key").cast("double") - float(low or 0)) / width).cast("int")))
+    placed = ids.withColumn("at", F.when(F.col("key") > NO_ID, F.floor((F.col("key").cast("double") - float(low or 0)) / width).cast("int")).otherwise(0))
     inside = placed.withColumn("before", F.lag("key").over(Window.partitionBy("at").orderBy("key")))
     edges = placed.groupBy("at").agg(F.max("key").alias("greatest"))  # at most MOST_WINDOWS rows
     edges = edges.select("at", F.coalesce(F.lag("greatest").over(Window.orderBy("at")), F.max("greatest").over(Window.partitionBy())).alias("edge"))
