@@ -77,10 +77,33 @@ def fnv64_hex(values: pd.Series) -> pd.Series:
     return pd.Series([None if v is None else hex16(h) for v, h in zip(values, found, strict=True)])
 
 
+def merkle64_many(contents: list[bytes]) -> list[int]:
+    """Merkle digests of many contents, whose leaves are all folded together."""
+    sizes = np.fromiter((max(1, -(-len(c) // LEAF)) for c in contents), np.int64, len(contents))
+    ends = np.cumsum(sizes)
+    if not len(ends):
+        return []
+    matrix = np.frombuffer(b"".join(c.ljust(n * LEAF, b"\0") for c, n in zip(contents, sizes.tolist(), strict=True)), np.uint8).reshape(-1, LEAF)
+    lengths = np.full(len(matrix), LEAF)
+    lengths[ends - 1] = np.fromiter(map(len, contents), np.int64, len(contents)) - (sizes - 1) * LEAF
+    folded = _fold(matrix, lengths)
+    return [int(folded[b - 1]) if n == 1 else reduce_tree(folded[b - n : b]) for b, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
+
+
+#: Bytes whose leaves are folded together.
+AT_ONCE = 8 << 20
+
+
 @F.pandas_udf(StringType())
 def merkle64_hex(values: pd.Series) -> pd.Series:
     """Merkle digest of binary contents as 16 hex digits; null for null."""
-    return values.map(lambda v: None if v is None else hex16(merkle64(v)))
+    contents, out, begin, size = [v if v is not None else b"" for v in values], [], 0, 0
+    for i, c in enumerate(contents):
+        size += len(c) + LEAF
+        if size > AT_ONCE or i + 1 == len(contents):
+            out += merkle64_many(contents[begin : i + 1])
+            begin, size = i + 1, 0
+    return pd.Series([None if v is None else hex16(h) for v, h in zip(values, out, strict=True)])
 
 
 @F.pandas_udf(StringType())

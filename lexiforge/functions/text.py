@@ -158,8 +158,8 @@ def rfc_class(token: Column | str) -> Column:
 def rfc_numbers(line: Column | str) -> Column:
     """Numbers that directly follow RFC or RFCS in a line's tokens."""
     runs = F.filter(F.regexp_extract_all(_c(line), F.lit("[A-Za-z0-9_]+"), F.lit(0)), lambda x: F.length(x) <= MOST_TOKEN)
-    pairs = F.filter(F.transform(runs, lambda x, i: F.struct(x.alias("a"), F.get(runs, i + 1).alias("b"))), lambda p: rfc_class(p["a"]).isin(1, 3) & (rfc_class(p["b"]) == 2))
-    return F.transform(pairs, lambda p: p["b"])
+    # bound to a variable, so that the tokens are cut once and not for every pair
+    return F.transform(F.array(runs), lambda r: F.filter(r, lambda x, i: (i > 0) & (rfc_class(x) == 2) & rfc_class(F.get(r, i - 1)).isin(1, 3)))[0]
 
 
 def should_visit(visited: Column, depth: Column, max_depth: Column, used: Column, limit: Column) -> Column:

@@ -13,6 +13,8 @@ from ..functions.text import RANKS
 
 #: First line of the canonical bytes, without version; a parameter wherever bytes are made.
 MARKER = "corpus-index"
+#: Canonical bytes that are digested at once.
+DIGEST_BYTES = 1 << 20
 VERSIONS = ("canonical-v1", "canonical-v2")
 
 
@@ -57,8 +59,13 @@ def canonical_bytes(lines: DataFrame, snapshot_id: str, marker: str = MARKER) ->
 
 
 def identities(lines: DataFrame, snapshot_id: str, marker: str = MARKER) -> tuple[str, str]:
-    """index_hash (SHA-256) and fingerprint (Merkle digest) of the canonical bytes. Serial by definition; held in memory is one carry."""
-    out = StreamDigest()
+    """index_hash (SHA-256) and fingerprint (Merkle digest) of the canonical bytes. Serial by definition; held in memory are DIGEST_BYTES and a partition's lines."""
+    out, pending, size = StreamDigest(), [], 0
     for piece in canonical_bytes(lines, snapshot_id, marker):
-        out.update(piece)
+        pending.append(piece)
+        size += len(piece)
+        if size > DIGEST_BYTES:
+            out.update(b"".join(pending))
+            pending, size = [], 0
+    out.update(b"".join(pending))
     return out.digests()

@@ -60,11 +60,18 @@ def rich_rows(files: DataFrame) -> dict[str, DataFrame]:
     decls = rows.where("decl <> ''")
     syms = decls.groupBy("path", F.col("decl").alias("sym"), "name").agg(F.min("lineno").alias("lineno"))
     headings = rows.where("level > 0").select("path", "lineno", F.col("level").cast("bigint").alias("level"), "title").distinct()
-    of_decl = decls.select("path", F.explode(F.expr("CASE WHEN decl = 'use' THEN array('references', 'depends-on') ELSE array('defines') END")).alias("rel"), F.col("name").alias("dst"))
-    of_link = rows.where("kind = 2").select("path", F.lit("references").alias("rel"), F.explode(T.link_targets("trimmed")).alias("dst"))
-    of_rfc = rows.select("path", F.lit("rfc-ref").alias("rel"), F.explode(T.rfc_numbers("line")).alias("dst"))
-    rels = of_decl.unionByName(of_link).unionByName(of_rfc).select(F.col("path").alias("src"), "rel", "dst").distinct()
-    press = rows.select("path", F.explode(T.press_ids("line")).alias("pid")).distinct()
+    none = F.array().cast("array<string>")
+    as_pairs = lambda rel, targets: F.transform(targets, lambda t: F.struct(F.lit(rel).alias("rel"), t.alias("dst")))
+    name = lambda test: F.when(test, F.array("name")).otherwise(none)
+    edges = F.concat(
+        as_pairs("defines", name(~F.col("decl").isin("", "use"))),
+        as_pairs("references", name(F.col("decl") == "use")),
+        as_pairs("depends-on", name(F.col("decl") == "use")),
+        as_pairs("references", F.when((F.col("kind") == 2) & T.contains_link("trimmed"), T.link_targets("trimmed")).otherwise(none)),
+        as_pairs("rfc-ref", F.when(F.col("line").rlike("(?i)rfc"), T.rfc_numbers("line")).otherwise(none)),
+    )
+    rels = rows.select("path", F.explode(edges).alias("e")).select(F.col("path").alias("src"), "e.rel", "e.dst").distinct()
+    press = rows.where(F.contains("line", F.lit("PRESS-"))).select("path", F.explode(T.press_ids("line")).alias("pid")).distinct()
     return {"syms": syms, "headings": headings, "rels": rels, "press": press}
 
 

@@ -43,6 +43,7 @@ def test_stream_and_batch_equal_scalar(parts):
     for p in parts:
         stream.update(p)
     assert stream.digests()[1] == D.hex16(scalar_merkle(whole)) == D.hex16(D.merkle64(whole))
+    assert D.merkle64_many(parts) == [scalar_merkle(p) for p in parts]
     assert [int(x) for x in D.fnv64_many(parts)] == [scalar_fnv(p) for p in parts]
 
 
