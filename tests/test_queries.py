@@ -34,3 +34,14 @@ def test_equals_sql(spark, name):
 
 def test_every_query_has_a_name_and_most_have_sql():
     assert len(queries.QUERIES) > 45 and set(queries.ORACLES) <= set(queries.QUERIES) and len(queries.QUERIES) - len(queries.ORACLES) < 8
+
+
+def test_crc_and_digest_equal_scalar_versions(spark):
+    import zlib
+
+    from .test_digests import scalar_merkle
+
+    texts = {f"documents/{r['source']}/{r['doc_id']}.txt": r["text"].encode() for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    crcs = {r["path"]: r["crc"] for r in queries.crc_hint(spark, SF).collect()}
+    found = {r["path"]: r["digest"] for r in queries.content_digest(spark, SF).collect()}
+    assert all(crcs[p] == zlib.crc32(t) and found[p] == f"{scalar_merkle(t):016x}" for p, t in texts.items())
