@@ -2,9 +2,10 @@
 
 The templates are a fixed list, so their index is of fixed size and travels with the tasks; documents are mapped over
 and never shuffled. Every template's word k-grams are winnowed; every k-gram of a document is looked up, so a match as long as
-one winnowing window and one k-gram is never missed. A candidate is a template and a diagonal band around it; there a
-banded local alignment counts matched template words and gives the span of document words. Of overlapping spans the one
-with more matched words is reported.
+one winnowing window and one k-gram is never missed. A candidate is a template and the diagonal of such a k-gram, unless a
+passage found before holds it; around it a banded local alignment, kept off the passages found before, counts matched
+template words and gives the span of document words. So passages that follow each other closely are each reported. Of
+overlapping spans of different templates the one with more matched words is reported.
 
 Null and empty texts have no matches, and documents without a match give no row. Repeated rows give their matches each
 time; ties between templates go to the first name. Only id and text are read, so extra columns cannot clash. An empty
@@ -111,19 +112,22 @@ def found(index: Index, text: str | None, least: float = LEAST_COVERAGE, band: i
         keep &= ids[k : k + len(keys)] > 0
     at = np.flatnonzero(keep)
     at = at[np.isin(keys[at], index.known)] if len(at) else at
-    bands: dict[tuple[int, int], int] = {}
+    out, spans, tried = [], [[] for _ in index.texts], set()
     for j in at.tolist():
         for t, i in index.places[int(keys[j])]:
-            near = [b for b in (-1, 0, 1) if (t, (j - i) // band + b) in bands]
-            if not near:
-                bands[t, (j - i) // band] = j - i
-    out = []
-    for (t, _), diagonal in bands.items():
-        lead = max(0, diagonal - band)
-        part = ids[lead : diagonal + len(index.texts[t]) + band]
-        matched, first, end = aligned(index.texts[t], part, diagonal - lead, band)
-        if matched >= least * len(index.texts[t]):
-            out.append((index.names[t], matched, matched / len(index.texts[t]), lead + first, lead + end))
+            template, diagonal = index.texts[t], j - i
+            while not any(a <= j < b for a, b in spans[t][-2 * band :]):
+                near = spans[t][-2 * band :]
+                low = max(0, diagonal - band, *(b for _, b in near if b <= j))
+                high = min(len(ids), diagonal + len(template) + band, *(a for a, _ in near if a > j))
+                if (t, diagonal, low, high) in tried:
+                    break
+                tried.add((t, diagonal, low, high))
+                matched, first, end = aligned(template, ids[low:high], diagonal - low, band)
+                if matched < least * len(template):
+                    break
+                spans[t].append((low + first, low + end))
+                out.append((index.names[t], matched, matched / len(template), low + first, low + end))
     out.sort(key=lambda m: (-m[1], m[0], m[3]))
     kept: list = []
     for m in out:
