@@ -21,7 +21,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common, ngrams
@@ -197,12 +197,14 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", trai
 
     seen = common.written(placed.groupBy("__block").applyInArrow(gathered, "__block int, word string, gram bigint, n bigint"))
     words = seen.where("word IS NOT NULL").select("__block", "word", "n")
-    total = words.groupBy("word").agg(F.sum("n").alias("n")).agg(F.sum("n"), F.count(F.when(F.col("n") > 0, 1))).first()
+    of_word = common.written(words.groupBy("word").agg(F.sum("n").cast("double").alias("value")))
+    total = of_word.agg(F.sum("value").cast("bigint"), F.count(F.when(F.col("value") > 0, 1))).first()
     n_train, n_distinct = total[0] or 0, total[1] or 0
     counts = common.checkpointed(seen.where("gram IS NOT NULL").groupBy("gram").agg(F.sum("n").alias("n")))
     n_grams = counts.count()
     values = common.checkpointed(gram_values(counts, max(16, n_grams // 100_000)))
-    known = words.select("__block", "word", F.lit(None).cast("bigint").alias("gram"), F.sum("n").over(Window.partitionBy("word")).cast("double").alias("value"))
+    # one row for each word on the right, so that a word of every block is split over tasks
+    known = words.select("__block", "word").join(of_word, "word").select("__block", "word", F.lit(None).cast("bigint").alias("gram"), "value")
     if n_grams <= broadcast_rows:
         got = values.toArrow()
         keys = got["gram"].to_numpy().astype(np.uint64)
