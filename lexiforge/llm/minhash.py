@@ -61,11 +61,10 @@ def likeness(a: str, b: str) -> Column:
 
 
 def neighbours(ids: DataFrame) -> DataFrame:
-    """key, next_key: of each distinct key the next smaller one, and the greatest after the least. Windows over ranges of keys; only their edges meet in one task."""
-    low, high, n = ids.where(F.col("key") > NO_ID).agg(F.min("key"), F.max("key"), F.count("*")).first()
-    windows = max(1, min(MOST_WINDOWS, (n or 0) // IDS_IN_WINDOW))
-    width = (float(high or 0) - float(low or 0)) / windows + 1
-    placed = ids.withColumn("at", F.when(F.col("key") > NO_ID, F.floor((F.col("key").cast("double") - float(low or 0)) / width).cast("int")).otherwise(0))
+    """key, next_key: of each distinct key the next smaller one, and the greatest after the least. Windows over ranges of keys, as many in one as in another; only their edges meet in one task."""
+    ids = common.written(ids)
+    windows = max(1, min(MOST_WINDOWS, ids.count() // IDS_IN_WINDOW))
+    placed = common.written(ids.repartitionByRange(windows, "key").withColumn("at", F.spark_partition_id()))
     inside = placed.withColumn("before", F.lag("key").over(Window.partitionBy("at").orderBy("key")))
     edges = placed.groupBy("at").agg(F.max("key").alias("greatest"))  # at most MOST_WINDOWS rows
     edges = edges.select("at", F.coalesce(F.lag("greatest").over(Window.orderBy("at")), F.max("greatest").over(Window.partitionBy())).alias("edge"))
