@@ -17,7 +17,9 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -64,7 +66,9 @@ def matches(found, text: str | None) -> tuple[float, int, int]:
     for end, (size, weight) in found.iter(plain):
         (spared if weight is None else hits).append((end - size + 1, end, weight))
     if spared:
-        hits = [h for h in hits if not any(a <= h[0] and h[1] <= b for a, b, _ in spared)]
+        spared.sort(key=lambda h: h[0])
+        begins, reach = [a for a, _, _ in spared], [*accumulate((b for _, b, _ in spared), max)]
+        hits = [h for h in hits if not ((k := bisect_right(begins, h[0])) and h[1] <= reach[k - 1])]
     return sum(h[2] for h in hits), len(hits), plain.count(" ") - 1
 
 
