@@ -57,8 +57,9 @@ def simhash(text: str | None, size: int = SHINGLE, seed: int = SEED) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """id and fp, the fingerprint as a signed long."""
-    return common.map_rows(docs.select(id_col, text_col), lambda ids, texts: [ids, [simhash(t, size, seed) for t in texts]], f"{id_col} bigint, fp bigint")
+    """id, fp (the fingerprint as a signed long) and text_hash."""
+    read = docs.select(id_col, text_col, F.xxhash64(text_col).alias("text_hash"))
+    return common.map_rows(read, lambda ids, texts, hashes: [ids, [simhash(t, size, seed) for t in texts], hashes], f"{id_col} bigint, fp bigint, text_hash bigint")
 
 
 def _syndrome(half: Column) -> Column:
@@ -109,7 +110,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def classes_of(prints: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """fp, component_id (the smallest id reachable), n_links (classes it links to) for every distinct fp of prints (id, fp)."""
+    """fp, component_id (the smallest id reachable), n_links (classes it links to), root (the component's smallest fp) for every distinct fp of prints (id, fp)."""
     classes = common.checkpointed(prints.groupBy("fp").agg(F.min(id_col).alias("least")))
     edges = common.checkpointed(links(classes))
     degree = edges.select(F.explode(F.array("a", "b")).alias("fp")).groupBy("fp").agg(F.count("*").alias("n_links"))
@@ -117,15 +118,28 @@ def classes_of(prints: DataFrame, id_col: str = "doc_id") -> DataFrame:
     linked = classes.join(roots, classes["fp"] == roots["node"], "left").join(degree, "fp", "left")
     linked = linked.select("fp", "least", F.coalesce("root", "fp").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     heads = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    return linked.join(heads, "root").select("fp", "component_id", "n_links")
+    return linked.join(heads, "root").select("fp", "component_id", "n_links", "root")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every row's id, fingerprint (16 hex digits), component_id and number of classes that its class links to."""
-    prints = common.checkpointed(fingerprints(docs, id_col, text_col))
+    prints = common.checkpointed(fingerprints(docs, id_col, text_col).drop("text_hash"))
     found = prints.join(classes_of(prints, id_col), "fp")  # one row for each fp; Spark splits a hot one
     return found.select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_links")
 
 
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of docs, with all its columns, for each component: the one with the smallest id, then the smallest text hash.
+
+    A row without an id stands only for a component in which no row has one."""
+    prints = common.checkpointed(fingerprints(docs, id_col, text_col))
+    row = F.struct(F.col(id_col).isNull().alias("lacks"), F.col(id_col).alias("id"), "text_hash")
+    found = prints.join(classes_of(prints, id_col).select("fp", "root"), "fp").groupBy("root").agg(F.min(row).alias("row"))
+    keep = found.select(F.col("row.id").alias("__id"), F.col("row.text_hash").alias("__hash")).distinct()
+    own = F.xxhash64(docs[text_col])
+    chosen = docs.join(keep, docs[id_col].eqNullSafe(keep["__id"]) & (own == keep["__hash"]), "left_semi")
+    return chosen.withColumn("__hash", F.xxhash64(text_col)).dropDuplicates([id_col, "__hash"]).drop("__hash")
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(common.read_table(spark, sf_dir, "documents"))
