@@ -61,6 +61,16 @@ def test_components_of_long_chains(spark):
     assert all(found[i] == 0 for i in range(1, 31)) and all(found[i] == 100 for i in (101, 102, 103))
 
 
+def test_representatives_keep_one_row_of_each_component(spark, odd, empty):
+    rows = [(1, "a b c d", "x"), (1, "entirely other words here", "y"), (2, "a b c d", "x"), (None, "a b c d", "x"), (None, "no id and no like", "z"), (None, "no id and no like", "z")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, fp string")
+    kept = [tuple(r) for r in simhash.representatives(docs).collect()]
+    assert sorted(kept, key=str) == sorted([rows[0], rows[1], rows[4]], key=str)
+    found = simhash.representatives(odd)
+    assert found.columns == odd.columns and found.count() == simhash.near_duplicates(odd).select("component_id").distinct().count()
+    assert simhash.representatives(empty).count() == 0
+
+
 def test_simhash_odd_rows(odd, empty):
     found = {}
     for r in simhash.near_duplicates(odd).collect():
@@ -91,6 +101,13 @@ def test_fingerprint_query(spark, documents):
     assert len({r["fingerprint"] for r in found.values()}) >= len({t for _, t in rows}) * 0.99
 
 
+def test_neighbours_of_ids_far_apart(spark):
+    keys = [-(1 << 62), *range(12_000), 1 << 62, minhash.NO_ID]
+    found = minhash.neighbours(spark.createDataFrame([(k, 1) for k in keys], "key bigint, n_chars bigint"))
+    keys.sort()
+    assert {r["key"]: r["next_key"] for r in found.collect()} == dict(zip(keys, [keys[-1], *keys[:-1]], strict=True))
+
+
 def test_fingerprint_is_native(spark):
     plan = minhash.op10_fingerprint(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
@@ -120,3 +137,15 @@ def test_licenses(spark, documents, odd, empty):
     want = {(r["doc_id"], name) for r in documents.collect() for notice, name in notices.items() if notice in r["text"]}
     assert {(r["doc_id"], r["license"]) for r in licenses.op1_license_scan(spark, SF).collect()} == want and want
     assert licenses.scanned(odd).count() == 0 and licenses.scanned(empty).count() == 0
+
+
+def test_license_passages_that_follow_closely():
+    index = licenses.Index(licenses.TEMPLATES)
+    mit, cc = licenses.TEMPLATES["mit-notice"], licenses.TEMPLATES["cc-by-4.0-notice"]
+    for text, want in ((f"{mit} {mit} {mit}", [(0, 5), (5, 10), (10, 15)]), (f"{mit} and so {mit}", [(0, 5), (7, 12)]), (f"{mit} {cc} {mit}", [(0, 5), (5, 11), (11, 16)])):
+        assert [m[3:] for m in licenses.found(index, text)] == want
+    header = licenses.TEMPLATES["apache-2.0-header"]
+    n = len(licenses.tokens(header))
+    found = licenses.found(index, " word ".join([header] * 50))
+    assert [m[3:] for m in found] == [(k * (n + 1), k * (n + 1) + n) for k in range(50)]
+    assert len(licenses.found(index, f"{mit} " * 5000)) == 5000

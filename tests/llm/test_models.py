@@ -223,6 +223,12 @@ def test_disguises_and_exceptions():
     assert 0 <= toxicity.score(toxicity.DEFAULT_CURVE, 0.0, 0) < 0.5 <= toxicity.score(toxicity.DEFAULT_CURVE, 3.0, 10) <= 1
 
 
+def test_many_exceptions_are_exact_and_quick():
+    found = toxicity.automaton({" trash ": 3.0, " idiot ": 2.0})
+    text = "trash can trash idiot proof idiot " * 30_000
+    assert toxicity.matches(found, text) == (5.0 * 30_000, 60_000, 180_000)
+
+
 def test_toxicity_odd_rows(odd, empty, labels):
     model = toxicity.trained(odd, labels)
     assert toxicity.scored(odd, model).where("score BETWEEN 0 AND 1").count() == odd.count()
