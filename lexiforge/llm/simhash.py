@@ -133,8 +133,13 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     A row without an id stands only for a component in which no row has one."""
     prints = common.checkpointed(fingerprints(docs, id_col, text_col))
+    return first_rows(docs, prints.join(classes_of(prints, id_col).select("fp", "root"), "fp"), id_col, text_col)
+
+
+def first_rows(docs: DataFrame, rooted: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The row of docs that stands for each root of rooted (id, text_hash, root)."""
     row = F.struct(F.col(id_col).isNull().alias("lacks"), F.col(id_col).alias("id"), "text_hash")
-    found = prints.join(classes_of(prints, id_col).select("fp", "root"), "fp").groupBy("root").agg(F.min(row).alias("row"))
+    found = rooted.groupBy("root").agg(F.min(row).alias("row"))
     keep = found.select(F.col("row.id").alias("__id"), F.col("row.text_hash").alias("__hash")).distinct()
     own = F.xxhash64(docs[text_col])
     chosen = docs.join(keep, docs[id_col].eqNullSafe(keep["__id"]) & (own == keep["__hash"]), "left_semi")

@@ -4,7 +4,8 @@ import re
 import numpy as np
 import xxhash
 
-from lexiforge.llm import licenses, minhash, simhash
+import corpus_pipeline
+from lexiforge.llm import licenses, minhash, shingle_join, simhash
 
 from .conftest import SF
 
@@ -86,6 +87,47 @@ def shingles(text):
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
 
 
+def jaccard(x, y):
+    return len(x & y) / len(x | y) if x | y else 1.0
+
+
+def test_near_dedup_stage_equals_brute_force(spark, documents):
+    rnd = np.random.default_rng(8)
+    rows, base = [tuple(r) for r in documents.select("doc_id", "text").collect()], 10**6
+    for _, text in [r for r in rows if 40 < len(r[1].split()) < 400][:40]:
+        for edits in (1, 2, 4, 8):  # edited copies, some of them below the limit
+            w = text.split()
+            for at in rnd.choice(len(w), min(edits, len(w) // 8 + 1), replace=False):
+                w[at] = f"edit{at}"
+            base += 1
+            rows.append((base, " ".join(w)))
+    sets = {i: shingles(t) for i, t in rows}
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    ids, linked = sorted(sets), 0
+    for k, a in enumerate(ids):
+        for b in ids[k + 1 :]:
+            if 5 * min(len(sets[a]), len(sets[b])) >= 4 * max(len(sets[a]), len(sets[b])) and jaccard(sets[a], sets[b]) >= 0.8:
+                linked += sets[a] != sets[b]
+                root[max(find(a), find(b))] = min(find(a), find(b))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    kept = [r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, SF).collect()]
+    assert sorted(kept) == sorted({find(i) for i in ids}) and linked > 80
+
+
+def test_frequent_shingles_change_no_pair(spark, monkeypatch):
+    monkeypatch.setattr(shingle_join, "SAMPLE", 1)
+    lead = "all of these texts begin with the very same ten words"
+    rows = [(i, f"{lead} " + " ".join(f"w{i // 2}x{k}" for k in range(40)) + f" {i}") for i in range(60)] + [(None, None), (99, "")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert sorted(r["doc_id"] for r in shingle_join.representatives(docs).collect()) == [*range(0, 60, 2), 99]
+
+
 def test_fingerprint_query(spark, documents):
     rows = sorted(((r["doc_id"], r["text"]) for r in documents.collect()), reverse=True)
     found, errors = {r["doc_id"]: r for r in minhash.op10_fingerprint(spark, SF).collect()}, []
