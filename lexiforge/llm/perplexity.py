@@ -6,8 +6,8 @@ training or not, so scoring needs one lookup a byte. Rejected are documents whos
 that held-out trusted documents of their language and size class have; a class with fewer than LEAST_ROWS of them uses its
 language's, then everybody's.
 
-Trusted rows are labelled quality 1: at most TRUSTED of them are used, those with the smallest hash of their id; a fifth of
-these sets the quantiles, the rest trains. Counting, lookup and scoring cover all documents.
+Trusted rows are those labelled quality 1, all of them: a fifth, by hash of the id, sets the quantiles, the rest trains.
+Counting, lookup and scoring cover all documents.
 
 Null and empty texts hold only their end; null languages are one language. Without trusted rows everything stays. Repeated
 rows are judged alike. Extra columns pass through; names beginning with two underscores are reserved. An empty table gives
@@ -22,7 +22,6 @@ from pyspark.sql import functions as F
 from . import common, ngrams
 
 DEPTH = 4
-TRUSTED = 40_000
 QUANTILE, SLACK, LEAST_ROWS = 0.995, 1.03, 20
 #: Slack besides, divided by the text's bytes: the loss of a few bytes says little.
 SHORT_SLACK = 0.8
@@ -73,12 +72,16 @@ def _size_class(n: Column) -> Column:
     return F.least(F.lit(8), F.greatest(F.lit(2), F.floor(F.log(4.0, n)).cast("int")))
 
 
-def judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", trusted: int = TRUSTED, quantile: float = QUANTILE) -> DataFrame:
+def judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = QUANTILE) -> DataFrame:
     """docs with __loss (-log10 of the probability, per byte), __grams, __limit and __kept."""
-    ids = labels.where("quality = 1").select(F.col(id_col).alias("__id")).where("__id IS NOT NULL").distinct().orderBy(F.xxhash64("__id"), "__id").limit(trusted)
+    ids = labels.where("quality = 1").select(F.col(id_col).alias("__id")).where("__id IS NOT NULL").distinct()
     fold = F.crc32(F.col("__id").cast("string").cast("binary")) % 5
-    ids = common.checkpointed(ids.withColumn("__role", F.when(fold == 0, "limit").otherwise("train")))  # at most `trusted` rows
-    marked = docs.join(F.broadcast(ids), docs[id_col] == ids["__id"], "left").drop("__id").withColumn("__train", F.coalesce(F.col("__role") == "train", F.lit(False)))
+    # written, so that its size is known and Spark broadcasts it only where it is small
+    ids = common.written(ids.select("__id", F.lit(-1).cast("bigint").alias("__spread"), F.when(fold == 0, "limit").otherwise("train").alias("__role")))
+    # rows without an id match nothing; they are spread, lest they meet in one task
+    spread = F.when(F.col(id_col).isNull(), F.monotonically_increasing_id()).otherwise(F.lit(-1))
+    keyed = docs.select(F.col(id_col), F.col(text_col), F.col(lang_col), spread.alias("__at"))
+    marked = keyed.join(ids, (keyed[id_col] == ids["__id"]) & (keyed["__at"] == ids["__spread"]), "left").drop("__id", "__spread", "__at").withColumn("__train", F.coalesce(F.col("__role") == "train", F.lit(False)))
     counts = common.checkpointed(ngrams.counted(marked, DEPTH, text_col, "__train", lower=False))
     table = common.checkpointed(kneser_ney(counts))
     score = lambda part: ngrams.summed(part, table, DEPTH, id_col, text_col, lower=False)
@@ -86,7 +89,7 @@ def judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     limits = score(marked.where("__role = 'limit'").select(id_col, text_col, lang_col)).select(lang.alias("__lang"), _size_class(F.col("__grams")).alias("__class"), loss.alias("__loss"))
     q = F.percentile_approx("__loss", quantile, 10_000)
     sets = limits.groupingSets([["__lang", "__class"], ["__lang"], []], "__lang", "__class").agg(F.when(F.count("*") >= LEAST_ROWS, q * SLACK).alias("__limit"), F.grouping_id().alias("__set"))
-    sets = common.checkpointed(sets)  # at most one row for each of the trusted rows, and two
+    sets = common.checkpointed(sets)  # a row for each language and size class
     fine = F.broadcast(sets.where("__set = 0").select("__lang", "__class", F.col("__limit").alias("__fine")))
     coarse = F.broadcast(sets.where("__set = 1").select("__lang", F.col("__limit").alias("__coarse")))
     whole = sets.where("__set = 3").select(F.max("__limit")).first()

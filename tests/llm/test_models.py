@@ -127,6 +127,22 @@ def test_quality_query_rejects_junk_and_keeps_clean(spark):
     assert np.mean([kept[i] for i, q in truth.items() if q == 1]) > 0.99 and np.mean([kept[i] for i, q in truth.items() if q == 0]) < 0.2
 
 
+def test_limits_come_from_all_trusted_rows(spark):
+    n, rare = 60_000, 120  # beyond any bound that was, and a language with few of them
+    lang = F.when(F.col("doc_id") % (n // rare) == 0, "xx").otherwise("en")
+    word = F.when(lang == "xx", F.hex(F.xxhash64("doc_id"))).otherwise(F.concat(F.lit("plain words "), (F.col("doc_id") % 97).cast("string")))
+    docs = spark.range(n).withColumnRenamed("id", "doc_id").select("doc_id", word.alias("text"), lang.alias("lang"))
+    rows = perplexity.judged(docs, docs.select("doc_id", F.lit(1).alias("quality"))).select("doc_id", "lang", "__loss", "__grams", "__limit").collect()
+    for own in ("xx", "en"):
+        held = collections.defaultdict(list)
+        for r in rows:
+            if r["lang"] == own and crc(r["doc_id"]) == 0:
+                held[min(8, max(2, int(math.log(r["__grams"], 4) + 1e-9)))].append(r["__loss"])
+        limit = {k: sorted(x)[math.ceil(perplexity.QUANTILE * len(x)) - 1] * perplexity.SLACK for k, x in held.items() if len(x) >= perplexity.LEAST_ROWS}
+        found = [(r["__limit"], limit[k] * (1 + perplexity.SHORT_SLACK / r["__grams"])) for r in rows if r["lang"] == own and (k := min(8, max(2, int(math.log(r["__grams"], 4) + 1e-9)))) in limit]
+        assert found and all(x == pytest.approx(y) for x, y in found)
+
+
 def test_quality_odd_rows(odd, empty, labels):
     out = perplexity.judged(odd, labels)
     assert out.count() == odd.count() and set(odd.columns) <= set(out.columns)
