@@ -2,8 +2,8 @@
 
 Training counts hashed character trigrams of every training text, per language: at most BUCKETS numbers for each
 language and task, added up by Spark. The table that reaches the driver has at most BUCKETS + scripts rows for each
-language; MAX_LANGUAGES bounds it. A word's script narrows its candidates to languages that use that script. Each
-word scores every candidate by its trigrams, and Viterbi with a penalty for switching labels the words; the language with
+language; MAX_LANGUAGES bounds it. A word's script narrows its candidates to languages that use that script; letters of a
+script that is not listed leave all. Each word scores every candidate by its trigrams, and Viterbi with a penalty for switching labels the words; the language with
 the most letters' words is the document's, and its share of them is the score.
 
 Null texts and texts without a letter are `und` with score 0, and so is everything if there is no training text. Null
@@ -38,10 +38,17 @@ LETTER = regex.compile(r"\p{L}")
 _SPACE = np.array([9, 10, 11, 12, 13], np.uint32)
 
 
+#: Numbers of scripts: none, letters of a script that is not listed, and the listed ones from 2 up.
+OTHER, N_SCRIPTS = 1, len(SCRIPTS) + 2
+
+
 def _script_table() -> np.ndarray:
-    """The script of each code point below 65,536: 0 for none, else 1 and up."""
-    table = np.zeros(1 << 16, np.uint8)
-    for k, ranges in enumerate(SCRIPTS.values(), 1):
+    """The script of each code point."""
+    table = np.zeros(0x110000, np.uint8)
+    for begin, end in ((0, 0xD800), (0xE000, 0x110000)):
+        for run in regex.finditer(r"\p{L}+", "".join(map(chr, range(begin, end)))):
+            table[begin + run.start() : begin + run.end()] = OTHER
+    for k, ranges in enumerate(SCRIPTS.values(), OTHER + 1):
         for a, b in ranges:
             table[a : b + 1] = k
     for a, b in ((0x5B, 0x60), (0x7B, 0xA9), (0xAB, 0xB4), (0xB6, 0xB9), (0xBB, 0xBF), (0xD7, 0xD7), (0xF7, 0xF7)):  # signs between Latin letters
@@ -65,7 +72,7 @@ def trigrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     begins = np.flatnonzero(gap[inside - 1]) if len(inside) else np.zeros(0, np.int64)
     text_at = np.cumsum(lengths + 1) - lengths
     n_words = np.diff(np.searchsorted(inside[begins], np.append(text_at, len(cp)))) if len(texts) else np.zeros(0, np.int64)
-    script = SCRIPT_OF[np.minimum(cp[inside], 0xFFFF)]
+    script = SCRIPT_OF[cp[inside]]
     words = np.maximum.reduceat(script, begins) if len(begins) else np.zeros(0, np.uint8)
     return (h[inside] >> np.uint32(16)).astype(np.int64), begins, n_words, words
 
@@ -116,9 +123,9 @@ def counts(train: DataFrame, text_col: str, lang_col: str) -> DataFrame:
                 rows = sorted(zip(part.column(1).to_pylist(), part.column(0).to_pylist(), strict=True), key=lambda x: x[0])
                 for lang, own in groupby(rows, key=lambda x: x[0]):
                     grams, _, _, scripts = trigrams([t for _, t in own])
-                    n = found.setdefault(lang, np.zeros(BUCKETS + len(SCRIPTS) + 1, np.int64))
+                    n = found.setdefault(lang, np.zeros(BUCKETS + N_SCRIPTS, np.int64))
                     n[:BUCKETS] += np.bincount(grams, minlength=BUCKETS)
-                    n[BUCKETS:] += np.bincount(scripts, minlength=len(SCRIPTS) + 1)
+                    n[BUCKETS:] += np.bincount(scripts, minlength=N_SCRIPTS)
         target = to_arrow_schema(schema)
         for lang, n in found.items():
             at = np.flatnonzero(n)
@@ -133,7 +140,7 @@ def learned(train: DataFrame, text_col: str = "text", lang_col: str = "lang") ->
     langs = [r[0] for r in table.select("lang").distinct().orderBy("lang").limit(MAX_LANGUAGES + 1).collect()]
     if len(langs) > MAX_LANGUAGES:
         raise ValueError(f"over {MAX_LANGUAGES} languages; the model table would not be of bounded size")
-    n = np.zeros((BUCKETS + len(SCRIPTS) + 1, len(langs)))
+    n = np.zeros((BUCKETS + N_SCRIPTS, len(langs)))
     got = table.toArrow()  # at most (BUCKETS + scripts) x MAX_LANGUAGES rows
     where = {lang: k for k, lang in enumerate(langs)}
     n[got["bucket"].to_numpy(), [where[x] for x in got["lang"].to_pylist()]] = got["n"].to_numpy()
@@ -141,6 +148,7 @@ def learned(train: DataFrame, text_col: str = "text", lang_col: str = "lang") ->
     logp = np.log((grams + 0.1) / (grams.sum(axis=0) + 0.1 * BUCKETS)).astype(np.float32)
     allowed = scripts >= 0.001 * np.maximum(scripts.sum(axis=0), 1)
     allowed |= ~allowed.any(axis=1, keepdims=True)
+    allowed[OTHER] = True
     return langs, logp, allowed
 
 
@@ -177,8 +185,6 @@ def identified(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray],
                 spans.append([])
                 continue
             by = np.bincount(own[lettered[begin:end]], minlength=len(langs))
-            if not by.any():  # letters of no listed script
-                by = np.bincount(own, minlength=len(langs))
             best = int(by.argmax())
             pred.append(langs[best])
             share.append(float(by[best] / by.sum()))

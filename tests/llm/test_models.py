@@ -203,6 +203,19 @@ def test_mixed_text_has_spans(spark, documents):
     assert abs(row["spans"][1]["first"] - 60) <= 3 and abs(row["spans"][1]["words"] - 40) <= 6
 
 
+def test_languages_of_unlisted_scripts(spark):
+    rnd, rows = np.random.default_rng(2), []
+    for lang, first, n in (("en", 0x61, 26), ("gu", 0xA95, 20), ("te", 0xC15, 20), ("am", 0x1208, 60), ("ff", 0x1E922, 30), ("te2", 0xC15, 20)):
+        vocabulary = ["".join(chr(first + int(c)) for c in rnd.integers(0, n, rnd.integers(3, 7))) for _ in range(60)]
+        rows += [(len(rows) + i, lang, " ".join(rnd.choice(vocabulary, 25))) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, lang string, text string")
+    model = language_id.learned(docs.where("doc_id % 4 <> 0"))
+    found = {r["doc_id"]: r for r in language_id.identified(docs.where("doc_id % 4 = 0"), model).collect()}
+    assert len(found) == 30 and all(found[i]["lang_pred"] == lang for i, lang, _ in rows if i in found)
+    mixed = language_id.identified(spark.createDataFrame([(1, rows[0][2] + " 42 -- " + rows[45][2])], "doc_id bigint, text string"), model).first()
+    assert {s["lang"] for s in mixed["spans"]} == {"en", "te"} and 0.4 < mixed["score"] < 0.6
+
+
 def test_viterbi_equals_brute_force():
     rnd = np.random.default_rng(3)
     sizes = np.array([3, 0, 5, 1])
