@@ -2,8 +2,10 @@
 
 The templates are a fixed list, so their index is of fixed size and travels with the tasks; documents are mapped over
 and never shuffled. Every template's word k-grams are winnowed; every k-gram of a document is looked up, so a match as long as
-one winnowing window and one k-gram is never missed. A candidate is a template and the diagonal of such a k-gram, unless a
-passage found before holds it; around it a banded local alignment, kept off the passages found before, counts matched
+one winnowing window and one k-gram is never missed. Besides, of each template one word more is looked up than a passage of
+LEAST_COVERAGE may lack, the longest ones: every such passage holds one of them, whatever was put in or changed. A candidate
+is a template and the diagonal of such a k-gram or word, unless a passage found before holds it or too few words around it are
+the template's; around it a banded local alignment, kept off the passages found before, counts matched
 template words and gives the span of document words. So passages that follow each other closely are each reported. Of
 overlapping spans of different templates the one with more matched words is reported.
 
@@ -58,7 +60,7 @@ def winnowed(keys: np.ndarray, window: int = WINDOW) -> list[int]:
 class Index:
     """The templates' words, numbered, and their winnowed k-grams: key to (template, position)."""
 
-    def __init__(self, templates: dict[str, str], gram: int = GRAM, window: int = WINDOW):
+    def __init__(self, templates: dict[str, str], gram: int = GRAM, window: int = WINDOW, least: float = LEAST_COVERAGE):
         self.names, self.gram = sorted(templates), gram
         texts = [tokens(templates[n]) for n in self.names]
         self.number: dict[bytes, int] = {}
@@ -69,6 +71,15 @@ class Index:
             for at in winnowed(keys, window) if len(keys) else []:
                 self.places.setdefault(int(keys[at]), []).append((t, at))
         self.known = np.array(sorted(self.places))
+        self.words: dict[int, list[tuple[int, int]]] = {}
+        #: Of each template: which word numbers it holds.
+        self.holds = np.zeros((len(texts), len(self.number) + 1), bool)
+        for t, (own, ids) in enumerate(zip(texts, self.texts, strict=True)):
+            self.holds[t, ids] = True
+            spare = sum(n >= least * len(own) for n in range(len(own)))  # words that a passage may lack
+            for at in sorted(range(len(own)), key=lambda i: (-len(own[i]), i))[: spare + 1]:
+                self.words.setdefault(int(ids[at]), []).append((t, at))
+        self.seeds = np.isin(np.arange(len(self.number) + 1), sorted(self.words))
 
     def keys(self, ids: np.ndarray) -> np.ndarray:
         """One number for each k-gram: the words' numbers in a row."""
@@ -110,11 +121,12 @@ def found(index: Index, text: str | None, least: float = LEAST_COVERAGE, band: i
     keep = ids[: len(keys)] > 0
     for k in range(1, index.gram):
         keep &= ids[k : k + len(keys)] > 0
-    at = np.flatnonzero(keep)
-    at = at[np.isin(keys[at], index.known)] if len(at) else at
+    seeded = index.seeds[ids]
+    seeded[: len(keys)] |= keep & np.isin(keys, index.known)
     out, spans, tried = [], [[] for _ in index.texts], set()
-    for j in at.tolist():
-        for t, i in index.places[int(keys[j])]:
+    for j in np.flatnonzero(seeded).tolist():
+        grams = index.places.get(int(keys[j]), []) if j < len(keys) and keep[j] else []
+        for t, i in (*grams, *index.words.get(int(ids[j]), [])):
             template, diagonal = index.texts[t], j - i
             while not any(a <= j < b for a, b in spans[t][-2 * band :]):
                 near = spans[t][-2 * band :]
@@ -123,6 +135,8 @@ def found(index: Index, text: str | None, least: float = LEAST_COVERAGE, band: i
                 if (t, diagonal, low, high) in tried:
                     break
                 tried.add((t, diagonal, low, high))
+                if index.holds[t, ids[low:high]].sum() < least * len(template):
+                    break
                 matched, first, end = aligned(template, ids[low:high], diagonal - low, band)
                 if matched < least * len(template):
                     break
@@ -138,7 +152,7 @@ def found(index: Index, text: str | None, least: float = LEAST_COVERAGE, band: i
 
 def scanned(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST_COVERAGE) -> DataFrame:
     """A row for each license passage: template, matched words, coverage, and its span in words of [a-z0-9]+."""
-    index = Index(templates or TEMPLATES)
+    index = Index(templates or TEMPLATES, least=least)
 
     def rows(ids: list, texts: list) -> list:
         out = [(i, *m) for i, t in zip(ids, texts, strict=True) for m in found(index, t, least)]

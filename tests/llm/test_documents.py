@@ -191,3 +191,19 @@ def test_license_passages_that_follow_closely():
     found = licenses.found(index, " word ".join([header] * 50))
     assert [m[3:] for m in found] == [(k * (n + 1), k * (n + 1) + n) for k in range(50)]
     assert len(licenses.found(index, f"{mit} " * 5000)) == 5000
+
+
+def test_every_close_license_passage_has_a_seed():
+    index, rnd = licenses.Index(licenses.TEMPLATES), np.random.default_rng(4)
+    for name, text in licenses.TEMPLATES.items():
+        words = [w.decode() for w in licenses.tokens(text)]
+        edited = [[*words[:i], *put, *words[i + cut :]] for i in range(len(words)) for put, cut in ((["changed"], 1), ([], 1), (["put", "in"], 0))]
+        spread = [x for w in words[:8] for x in (w, "between")] + words[8:]  # every word of the short ones apart
+        most = len(words) // 5
+        many = [["changed" if i in set(rnd.choice(len(words), most, replace=False).tolist()) else w for i, w in enumerate(words)] for _ in range(30)]
+        template = index.texts[index.names.index(name)]
+        for own in (*edited, spread, *many):
+            ids = np.array([0, *(index.number.get(w.encode(), 0) for w in own), 0])
+            if licenses.aligned(template, ids, 1)[0] >= 0.8 * len(words):  # what the scan would report, had it a seed
+                assert licenses.found(index, " ".join(["lead", *own, "end"])), (name, own)
+    assert [m[0] for m in licenses.found(index, "Released under the X MIT License")] == ["mit-notice"]
