@@ -7,8 +7,8 @@ a filled one: it probes bins in an order that depends on the bin alone, as optim
 fingerprints agree by chance in 1 of 256 bins, and the likeness corrects for that.
 
 Texts of fewer than five words are one shingle. A null text is empty; a text without words has the fingerprint of
-zeros, like itself (1) and nothing else (0). Of rows that share an id the one with the least text hash counts; rows without an id
-count as one that comes last. Only id and text are read, so extra columns cannot clash. An empty table gives no rows.
+zeros, like itself (1) and nothing else (0). Every row is fingerprinted. Of rows that share an id the one with the least text hash
+is the next document of others; rows without an id are one document in that order, which comes last. Only id and text are read, so extra columns cannot clash. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,6 +24,8 @@ ZEROS = "00" * BINS
 #: Ids that one neighbour window holds, on average, and the most windows (whose edges meet in one task).
 IDS_IN_WINDOW, MOST_WINDOWS = 5000, 4096
 NO_ID = -(1 << 63)
+#: Parts that the rows without an id are spread over.
+PARTS = 64
 
 
 def _let(value: str, name: str, body: str) -> str:
@@ -74,13 +76,19 @@ def neighbours(ids: DataFrame) -> DataFrame:
 def fingerprinted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprints of every text and of its edited text (its last third replaced by the beginning of the next document), and their likeness."""
     keyed = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(NO_ID)).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    keyed = keyed.withColumn("nth_hash", F.xxhash64("text"))
-    one = Window.partitionBy("key").orderBy("nth_hash")
-    texts = keyed.withColumn("fp", fingerprint("text")).withColumn("nth", F.row_number().over(one)).where("nth = 1").drop("nth", "nth_hash")
-    sizes = keyed.select("key", "nth_hash", F.length("text").cast("bigint").alias("n_chars")).groupBy("key").agg(F.min_by("n_chars", "nth_hash").alias("n_chars"))
-    nxt = neighbours(sizes).withColumnRenamed("key", "of")
-    heads = texts.join(nxt, texts["key"] == nxt["next_key"]).select("of", "n_chars", F.expr("left(text, cast(n_chars div 3 AS int))").alias("head"), F.col("fp").alias("next_fp"))
-    both = texts.join(heads, texts["key"] == heads["of"])
+    sizes = keyed.select("key", F.xxhash64("text").alias("hash"), F.length("text").cast("bigint").alias("n_chars")).groupBy("key").agg(F.max("n_chars").alias("n_chars"), F.min("hash").alias("hash"))
+    sizes = common.written(sizes)
+    nxt = neighbours(sizes.select("key", "n_chars")).withColumnRenamed("key", "of")
+    nxt = nxt.join(sizes.select(F.col("key").alias("next_key"), "hash"), "next_key")
+    parts = lambda key: F.explode(F.when(F.col(key) == NO_ID, F.sequence(F.lit(0), F.lit(PARTS - 1))).otherwise(F.array(F.lit(0))))
+    part = F.when(F.col("key") == NO_ID, F.pmod(F.monotonically_increasing_id(), F.lit(PARTS)).cast("int")).otherwise(F.lit(0))
+    texts = keyed.withColumn("fp", fingerprint("text")).withColumn("part", part)
+    nxt = nxt.withColumn("next_part", parts("next_key"))
+    heads = texts.join(nxt, (texts["key"] == nxt["next_key"]) & (texts["part"] == nxt["next_part"]) & (F.xxhash64("text").bitwiseXOR(F.col("hash")) == 0))
+    heads = heads.select("of", F.expr("left(text, cast(n_chars div 3 AS int))").alias("most_head"), F.col("fp").alias("next_fp"))
+    heads = heads.dropDuplicates(["of"]).withColumn("of_part", parts("of"))
+    both = texts.join(heads, (texts["key"] == heads["of"]) & (texts["part"] == heads["of_part"]))
+    both = both.withColumn("n_chars", F.length("text").cast("bigint")).withColumn("head", F.expr("left(most_head, cast(n_chars div 3 AS int))"))
     both = both.withColumn("edited", F.expr("concat(left(text, cast(n_chars - n_chars div 3 AS int)), head)")).withColumn("edited_fp", fingerprint("edited"))
     return both.select(
         F.when(F.col("key") > NO_ID, F.col("key")).alias(id_col),

@@ -163,6 +163,19 @@ def test_fingerprint_odd_rows(odd, empty):
     assert found[8]["near_next"] == 0.0 and minhash.fingerprinted(empty).count() == 0
 
 
+def test_every_row_is_fingerprinted(spark):
+    rows = [(1, "one two three four five six"), (2, "a short one"), (2, "a longer text of the same id, with more words in it"), (2, "a short one"), *[(None, f"no id {k} at all in row {k}") for k in range(200)]]
+    found = minhash.fingerprinted(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert len(found) == len(rows)
+    one = {2: rows[0][1], None: None, 1: None}  # the next of 2 is 1, of those without an id 2, of 1 one without an id
+    got = {(r["doc_id"], r["edited_sha256"]) for r in found}
+    for i, text in rows:
+        k = len(text) // 3
+        nexts = [one[2]] if i == 2 else [t for j, t in rows if j == (None if i == 1 else 2)]
+        assert any((i, hashlib.sha256((text[: len(text) - k] + t[:k]).encode()).hexdigest()) in got for t in nexts)
+    assert len({r["fingerprint"] for r in found}) == len({t for _, t in rows})
+
+
 def test_licenses(spark, documents, odd, empty):
     whole = licenses.TEMPLATES["mit-header"]
     texts = {
