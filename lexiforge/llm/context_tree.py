@@ -2,13 +2,16 @@
 
 A byte is eight binary decisions; each decision has a tree of contexts, up to DEPTH bytes long, and each context a
 Krichevsky-Trofimov estimator. Weighting mixes all depths: a context's own estimate counts by half of what its evidence
-is worth against that of its longer contexts. Training counts grams of DEPTH + 1 bytes. Contexts that share their two
+is worth against that of its longer contexts. Training counts grams of DEPTH + 1 bytes. Contexts that share their three
 nearest bytes are one subtree, so each subtree's weights are computed in one task, whatever the others hold; what joins
-the subtrees (contexts of no or one byte) is 65,536 rows at most. Scoring then needs one value for each gram.
+the subtrees (contexts of two bytes and fewer) is 256^3 rows at most, far fewer in text. Scoring then needs one value for each gram.
 
 Texts are words joined by single spaces, with an end; their words are also scored by a smoothed unigram model (the base).
 Documents are grouped into blocks of bounded size by hash. A block's distinct words and grams, not their occurrences, are
-shuffled, joined to the corpus counts and brought back to the block.
+shuffled, joined to the corpus counts and brought back to the block. The code length is also given in bits a byte.
+
+Five bytes of context say less than whole words do: trained on few texts the model loses to the base on held-out ones (README),
+and with more text it wins. Longer contexts would need more distinct grams than the shuffle allows.
 
 Null and empty texts hold only their end. Rows without an id learn like any other. Repeated rows learn and score each
 time. Only id and text are read, so extra columns cannot clash. An empty table gives no rows; with nothing to learn from,
@@ -18,9 +21,12 @@ every byte costs eight bits.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,7 +34,7 @@ from . import common, ngrams
 
 DEPTH = 5
 #: Context bytes that all contexts of one task share.
-ROOT = 2
+ROOT = 3
 END_WORD = "\n"
 _HALF = math.log(0.5)
 
@@ -102,37 +108,63 @@ def weighted(keys: np.ndarray, counts: np.ndarray, depth: int = DEPTH, root: int
     return mixed, {k: np.concatenate(v) for k, v in nodes.items()}
 
 
-def tops(rows: pa.Table) -> tuple[np.ndarray, ...]:
-    """From one-byte contexts' sums (context, node, n0, n1, children): own probability of a one and share, for depth 1 and 0."""
-    n0, n1, children = (np.zeros((256, 256)) for _ in range(3))
-    at = (rows["context"].to_numpy(), rows["node"].to_numpy())
-    n0[at], n1[at], children[at] = (rows[c].to_numpy() for c in ("n0", "n1", "children"))
-    own = evidence(n0, n1)
+@dataclass
+class Tops:
+    """The mixture weights of contexts of two bytes (sorted by context and node), one byte and none."""
+
+    keys: np.ndarray
+    one: np.ndarray
+    share: np.ndarray
+    seen: np.ndarray
+    upper: tuple[np.ndarray, ...]
+
+
+def tops(rows: pa.Table) -> Tops:
+    """From the sums over two-byte contexts (key: context and node, n0, n1, children): own probability of a one and share, for depth 2, 1 and 0."""
+    order = np.argsort(rows["key"].to_numpy())
+    keys, z, o, children = (rows[c].to_numpy()[order] for c in ("key", "n0", "n1", "children"))
+    own = evidence(z, o)
     logpw = _HALF + np.logaddexp(own, children)
+    n0, n1, below = (np.zeros((256, 256)) for _ in range(3))
+    at = (keys >> 16, keys & 255)
+    for table, values in ((n0, z), (n1, o), (below, logpw)):
+        np.add.at(table, at, values)
+    own1 = evidence(n0, n1)
+    logpw1 = _HALF + np.logaddexp(own1, below)
     z0, z1 = n0.sum(axis=0), n1.sum(axis=0)
     own0 = evidence(z0, z1)
-    logpw0 = _HALF + np.logaddexp(own0, logpw.sum(axis=0))
-    return (n1 + 0.5) / (n0 + n1 + 1), np.exp(_HALF + own - logpw), n0 + n1 > 0, (z1 + 0.5) / (z0 + z1 + 1), np.exp(_HALF + own0 - logpw0)
+    logpw0 = _HALF + np.logaddexp(own0, logpw1.sum(axis=0))
+    upper = ((n1 + 0.5) / (n0 + n1 + 1), np.exp(_HALF + own1 - logpw1), n0 + n1 > 0, (z1 + 0.5) / (z0 + z1 + 1), np.exp(_HALF + own0 - logpw0))
+    return Tops(keys, ((o + 0.5) / (z + o + 1)).astype(np.float32), np.exp(_HALF + own - logpw).astype(np.float32), z + o > 0, upper)
 
 
-def finished(keys: np.ndarray, mixed: np.ndarray, top: tuple[np.ndarray, ...], depth: int = DEPTH) -> np.ndarray:
-    """log10 of the probability of each gram's last byte: the roots' mixtures mixed with contexts of one byte and none."""
-    one1, share1, seen1, one0, share0 = top
-    context = (keys >> np.uint64(8 * depth)).astype(np.int64)
-    last = (keys & np.uint64(255)).astype(np.int64)
+def finished(keys: np.ndarray, mixed: np.ndarray, top: Tops, depth: int = DEPTH) -> np.ndarray:
+    """log10 of the probability of each gram's last byte: the roots' mixtures mixed with contexts of two bytes, one and none."""
+    one1, share1, seen1, one0, share0 = top.upper
+    pair = (keys >> np.uint64(8 * depth - 8)).astype(np.int64)
+    context, last = pair >> 8, (keys & np.uint64(255)).astype(np.int64)
     out = np.zeros(len(keys))
     for bit in range(8):
         node = (1 << bit) | (last >> (8 - bit))
         is_one = (last >> (7 - bit) & 1).astype(bool)
-        p1 = np.where(is_one, one1[context, node], 1 - one1[context, node])
-        p0 = np.where(is_one, one0[node], 1 - one0[node])
-        p = np.where(np.isnan(mixed[:, bit]), p1, mixed[:, bit])
-        p = share1[context, node] * p1 + (1 - share1[context, node]) * p
-        p = np.where(seen1[context, node], p, p0)
-        out += np.log10(share0[node] * p0 + (1 - share0[node]) * p)
+        at = np.searchsorted(top.keys, pair << 8 | node)
+        own = np.where(is_one, top.one[at], 1 - top.one[at])
+        p = np.where(np.isnan(mixed[:, bit]), own, mixed[:, bit])
+        p = top.share[at] * own + (1 - top.share[at]) * p
+        own = np.where(is_one, one1[context, node], 1 - one1[context, node])
+        p = share1[context, node] * own + (1 - share1[context, node]) * np.where(top.seen[at], p, own)
+        own = np.where(is_one, one0[node], 1 - one0[node])
+        out += np.log10(share0[node] * own + (1 - share0[node]) * np.where(seen1[context, node], p, own))
     return out
 
 
+def _packed_rows(values: np.ndarray) -> pa.Array:
+    """Each row's bytes as one binary value."""
+    data = np.ascontiguousarray(values)
+    ends = np.arange(len(data) + 1, dtype=np.int32) * (data.dtype.itemsize * data.shape[1])
+    return pa.Array.from_buffers(pa.binary(), len(data), [None, pa.py_buffer(ends), pa.py_buffer(data)])
+
+
 def gram_values(counts: DataFrame, tasks: int) -> DataFrame:
     """gram, value: log10 of each gram's probability, from gram, n (0: only in texts to score)."""
     spark = counts.sparkSession
@@ -144,55 +176,67 @@ def gram_values(counts: DataFrame, tasks: int) -> DataFrame:
         keys = keys[order]
         mixed, nodes = weighted(keys, n[order].astype(np.float64))
         none = pa.nulls(len(keys))
-        part = pa.table({"gram": pa.array(keys.astype(np.int64)), "mixed": pa.array([r.tobytes() for r in mixed], pa.binary()), "node": none.cast(pa.int64()), **{c: none.cast(pa.float64()) for c in ("n0", "n1", "logpw")}})
+        part = pa.table({"gram": pa.array(keys.astype(np.int64)), "mixed": _packed_rows(mixed), "node": none.cast(pa.int64()), **{c: none.cast(pa.float64()) for c in ("n0", "n1", "logpw")}})
         none = pa.nulls(len(nodes["node"]))
         return pa.concat_tables([part, pa.table({"gram": none.cast(pa.int64()), "mixed": none.cast(pa.binary()), "node": pa.array(nodes["node"].astype(np.int64)), **{c: pa.array(nodes[c]) for c in ("n0", "n1", "logpw")}})])
 
     # a root has at most 256^(DEPTH - ROOT + 1) grams, however large the corpus
     placed = counts.withColumn("task", F.pmod(F.xxhash64(F.shiftright("gram", 8 * (DEPTH - ROOT + 1))), F.lit(tasks)))
     trees = common.written(placed.groupBy("task").applyInArrow(subtree, schema))
-    nodes = trees.where("node IS NOT NULL").groupBy(F.shiftright("node", 16).cast("int").alias("context"), F.col("node").bitwiseAND(F.lit(255).cast("bigint")).cast("int").alias("node"))
-    top = spark.sparkContext.broadcast(tops(nodes.agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("logpw").alias("children")).toArrow()))
+    # a node is its context's bytes, nearest first, and the bits so far; without the root's farthest byte it is a node of two-byte contexts
+    key = F.shiftleft(F.shiftright("node", 16), 8).bitwiseOR(F.col("node").bitwiseAND(F.lit(255).cast("bigint")))
+    nodes = trees.where("node IS NOT NULL").groupBy(key.alias("key")).agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("logpw").alias("children"))
+    top = spark.sparkContext.broadcast(tops(nodes.toArrow()))  # at most 256^3 rows, whatever the corpus; UTF-8 text has far fewer
+    values = common.spark_schema(spark, "gram bigint, value double")
 
-    def rows(grams: list, mixed: list) -> list:
-        keys = np.array(grams, np.uint64)
-        return [grams, finished(keys, np.frombuffer(b"".join(mixed), np.float32).reshape(-1, 8), top.value)]
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            grams = batch.column(0).to_numpy()
+            mixed = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.float32).reshape(-1, 8)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(finished(grams.astype(np.uint64), mixed, top.value))], names=["gram", "value"])
 
-    return common.map_rows(trees.where("gram IS NOT NULL").select("gram", "mixed"), rows, "gram bigint, value double")
+    return trees.where("gram IS NOT NULL").select("gram", "mixed").mapInArrow(rows, values)
 
 
 def trains(id_col: str) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 5 != 1
 
 
-def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train: Column | None = None, broadcast_rows: int = ngrams.BROADCAST_ROWS, block_bytes: int = ngrams.BLOCK_BYTES) -> DataFrame:
-    """Base and model score of every text. train: which rows to learn from."""
-    spark = docs.sparkSession
+def _words(texts: list[bytes]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Distinct words of joined texts, each word's number among them, and where each text's words begin. An empty text has one empty word."""
+    lists = pc.split_pattern(pa.array(texts, pa.large_binary()), b" ")
+    words = lists.flatten().dictionary_encode()
+    return words.dictionary, words.indices.to_numpy(), lists.offsets.to_numpy()
+
+
+def _column(rows: pa.Table, name: str, kind: pa.DataType) -> pa.Array:
+    return pa.concat_arrays([c.cast(kind) for c in rows.column(name).chunks] or [pa.array([], kind)])
+
+
+def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train: Column | None = None, block_bytes: int = ngrams.BLOCK_BYTES) -> DataFrame:
+    """Base and model score of every text, and the model's code length in bits a byte. train: which rows to learn from."""
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), (trains(id_col) if train is None else train).alias("train"))
     placed = ngrams.blocks(own, "doc_id", "text", block_bytes)
 
     def gathered(block: pa.Table) -> pa.Table:
         """The block's distinct words and grams, with their counts in its training texts."""
-        counts, words = ngrams.Counts(), {}
-        for at in range(0, block.num_rows, 512):
-            part = block.slice(at, 512)
-            texts, learn = [ngrams.joined(t, True) for t in part.column("text").to_pylist()], part.column("train").to_pylist()
-            for t, yes in zip(texts, learn, strict=True):
-                for w in t.split():
-                    words[w] = words.get(w, 0) + yes
-            for flag in (True, False):
-                chosen = [t for t, yes in zip(texts, learn, strict=True) if yes == flag]
-                for a, b in ngrams.batches_of(chosen):
-                    counts.add(ngrams.grams(chosen[a:b], DEPTH)[0], flag)
-        words[END_WORD.encode()] = sum(block.column("train").to_pylist())
+        texts, learn = [ngrams.joined(t, True) for t in block.column("text").to_pylist()], np.array(block.column("train").to_pylist(), bool)
+        words, at, begins = _words(texts)
+        n_words = np.bincount(at, weights=np.repeat(learn, np.diff(begins)), minlength=len(words)).astype(np.int64)
+        real = pc.greater(pc.binary_length(words), 0)
+        words, n_words = pa.concat_arrays([words.filter(real), pa.array([END_WORD.encode()], pa.large_binary())]), np.append(n_words[real.to_numpy(zero_copy_only=False)], learn.sum())
+        counts = ngrams.Counts()
+        for flag in (True, False):
+            chosen = [t for t, yes in zip(texts, learn.tolist(), strict=True) if yes == flag]
+            for a, b in ngrams.batches_of(chosen):
+                counts.add(ngrams.grams(chosen[a:b], DEPTH)[0], flag)
         keys, n = counts.merge()
         number = block.column("__block")[0].as_py()
-        rows = len(words)
         return pa.table({
-            "__block": pa.array(np.full(rows + len(keys), number, np.int32)),
-            "word": pa.concat_arrays([pa.array(list(words), pa.binary()).cast(pa.string()), pa.nulls(len(keys), pa.string())]),
-            "gram": pa.concat_arrays([pa.nulls(rows, pa.int64()), pa.array(keys.astype(np.int64))]),
-            "n": pa.concat_arrays([pa.array(list(words.values()), pa.int64()), pa.array(n.astype(np.int64))]),
+            "__block": pa.array(np.full(len(words) + len(keys), number, np.int32)),
+            "word": pa.concat_arrays([words.cast(pa.large_string()).cast(pa.string()), pa.nulls(len(keys), pa.string())]),
+            "gram": pa.concat_arrays([pa.nulls(len(words), pa.int64()), pa.array(keys.astype(np.int64))]),
+            "n": pa.array(np.concatenate([n_words, n.astype(np.int64)])),
         })
 
     seen = common.written(placed.groupBy("__block").applyInArrow(gathered, "__block int, word string, gram bigint, n bigint"))
@@ -201,47 +245,34 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", trai
     total = of_word.agg(F.sum("value").cast("bigint"), F.count(F.when(F.col("value") > 0, 1))).first()
     n_train, n_distinct = total[0] or 0, total[1] or 0
     counts = common.checkpointed(seen.where("gram IS NOT NULL").groupBy("gram").agg(F.sum("n").alias("n")))
-    n_grams = counts.count()
-    values = common.checkpointed(gram_values(counts, max(16, n_grams // 100_000)))
-    # one row for each word on the right, so that a word of every block is split over tasks
+    values = common.checkpointed(gram_values(counts, max(16, counts.count() // 100_000)))
+    # one row for each word or gram on the right, so that one of every block is split over tasks
     known = words.select("__block", "word").join(of_word, "word").select("__block", "word", F.lit(None).cast("bigint").alias("gram"), "value")
-    if n_grams <= broadcast_rows:
-        got = values.toArrow()
-        keys = got["gram"].to_numpy().astype(np.uint64)
-        order = np.argsort(keys)
-        shared = spark.sparkContext.broadcast((keys[order], got["value"].to_numpy().astype(np.float32)[order]))
-    else:
-        shared = None
-        in_block = seen.where("gram IS NOT NULL").select("__block", "gram").join(values, "gram")
-        known = known.unionByName(in_block.select("__block", F.lit(None).cast("string").alias("word"), "gram", "value"))
+    in_block = seen.where("gram IS NOT NULL").select("__block", "gram").join(values, "gram")
+    known = known.unionByName(in_block.select("__block", F.lit(None).cast("string").alias("word"), "gram", "value"))
     norm = n_train + 0.5 * (n_distinct + 1)
 
     def meet(block: pa.Table, known: pa.Table) -> pa.Table:
-        has_word = known.column("word").is_valid()
-        count = known.filter(has_word)
-        count = dict(zip(count.column("word").cast(pa.binary()).to_pylist(), count.column("value").to_numpy().tolist(), strict=True))
-        cost = {w: math.log10((c + 0.5) / norm) for w, c in count.items()}
-        if shared is None:
-            rest = known.filter(known.column("gram").is_valid())
-            keys = rest.column("gram").to_numpy().astype(np.uint64)
-            order = np.argsort(keys)
-            keys, value = keys[order], rest.column("value").to_numpy()[order]
-        else:
-            keys, value = shared.value
-        out: dict[str, list] = {n: [] for n in ("n_tokens", "n_known", "base_score", "score")}
-        end = END_WORD.encode()
-        for at in range(0, block.num_rows, 512):
-            texts = block.column("text").slice(at, 512).to_pylist()
-            out["score"] += ngrams.sums(texts, keys, value, DEPTH, True)[0].tolist()
-            for t in texts:
-                own = [*ngrams.joined(t, True).split(), end]
-                out["n_tokens"].append(len(own))
-                out["n_known"].append(sum(map(bool, map(count.__getitem__, own))))
-                out["base_score"].append(math.fsum(map(cost.__getitem__, own)))
-        held = pa.array([not x for x in block.column("train").to_pylist()], pa.bool_())
-        return pa.table({"doc_id": block.column("doc_id"), "held_out": held, "n_tokens": pa.array(out["n_tokens"], pa.int64()), "n_known": pa.array(out["n_known"], pa.int64()), "train_tokens": pa.array([n_train] * block.num_rows, pa.int64()), "base_score": pa.array(out["base_score"], pa.float64()), "score": pa.array(out["score"], pa.float64())})
-
-    schema = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
+        is_word = known.column("word").is_valid()
+        rest = known.filter(pc.invert(is_word))
+        table = ngrams.Lookup(rest.column("gram").to_numpy().astype(np.uint64), rest.column("value").to_numpy())
+        known = known.filter(is_word)
+        names, count = _column(known, "word", pa.large_binary()), known.column("value").to_numpy()
+        texts = [ngrams.joined(t, True) for t in block.column("text").to_pylist()]
+        words, at, begins = _words(texts)
+        found = pc.index_in(words, names)
+        of = np.where(found.is_valid().to_numpy(zero_copy_only=False), count[found.fill_null(0).to_numpy()], np.nan)  # nan: the empty word
+        end = count[pc.index_in(pa.array([END_WORD.encode()], pa.large_binary()), names)[0].as_py()]
+        cost = np.where(np.isnan(of), 0.0, np.log10((of + 0.5) / norm))
+        per_text = lambda each: np.add.reduceat(each[at], begins[:-1])
+        base = per_text(cost) + math.log10((end + 0.5) / norm)
+        n_tokens = per_text((~np.isnan(of)).astype(np.int64)) + 1
+        n_known = per_text((of > 0).astype(np.int64)) + int(end > 0)
+        score, n_bytes = ngrams.sums(texts, table, DEPTH)
+        held = pc.invert(_column(block, "train", pa.bool_()))
+        return pa.table({"doc_id": block.column("doc_id"), "held_out": held, "n_tokens": pa.array(n_tokens, pa.int64()), "n_known": pa.array(n_known, pa.int64()), "train_tokens": pa.array(np.full(len(texts), n_train), pa.int64()), "base_score": pa.array(base), "score": pa.array(score), "n_bytes": pa.array(n_bytes, pa.int64()), "bits_per_byte": pa.array(score * -math.log2(10) / n_bytes)})
+
+    schema = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, n_bytes bigint, bits_per_byte double"
     return placed.groupBy("__block").cogroup(known.groupBy("__block")).applyInArrow(meet, schema)
 
 

@@ -18,10 +18,10 @@ from . import common
 
 #: Stands before and behind every text; no word holds it.
 EDGE = b"\n"
-#: A table of at most so many rows is broadcast (12 bytes a row); a larger one is joined to blocks of documents.
-BROADCAST_ROWS = 4_000_000
-#: Text bytes that a block of documents holds, on average.
-BLOCK_BYTES = 16_000_000
+#: A table of at most so many rows is broadcast (16 bytes a row); a larger one is joined to blocks of documents.
+BROADCAST_ROWS = 2_000_000
+#: Text bytes that a block of documents holds, on average; small tables have up to LEAST_BLOCKS blocks of LEAST_BYTES or more.
+BLOCK_BYTES, LEAST_BLOCKS, LEAST_BYTES = 16_000_000, 24, 100_000
 #: Bytes whose grams are sorted at once.
 _AT_ONCE = 4_000_000
 
@@ -121,22 +121,69 @@ def counted(docs: DataFrame, depth: int, text_col: str, train_col: str, lower: b
     return docs.select(text_col, train_col).mapInArrow(run, schema).groupBy("gram").agg(F.sum("n").alias("n"))
 
 
-def sums(texts: list[str | None], keys: np.ndarray, values: np.ndarray, depth: int, lower: bool) -> tuple[np.ndarray, np.ndarray]:
-    """For each text the sum of the values of its grams, which the sorted keys all hold, and their number."""
-    words = [joined(t, lower) for t in texts]
-    out, sizes = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
+class Lookup:
+    """Values by key in an open-addressing table: a key takes one or two memory reads, where bisection takes twenty."""
+
+    #: No key: it would be eight bytes of 255, which UTF-8 does not have.
+    FREE = np.uint64(0xFFFFFFFFFFFFFFFF)
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        bits = max(4, (2 * len(keys)).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys, self.values = np.full(1 << bits, self.FREE), np.zeros(1 << bits)
+        slot, left = self._home(keys), np.arange(len(keys))
+        while len(left):
+            free = self.keys[slot] == self.FREE
+            self.keys[slot[free]] = keys[left[free]]  # of several keys for one slot the last one gets it
+            won = self.keys[slot] == keys[left]
+            self.values[slot[won]] = values[left[won]]
+            slot, left = (slot[~won] + 1) & self.mask, left[~won]
+
+    def _home(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        out = np.empty(len(keys))
+        for a in range(0, len(keys), 1 << 16):
+            own = keys[a : a + (1 << 16)]
+            slot = self._home(own)
+            part = self.values[slot]
+            left = np.flatnonzero(self.keys[slot] != own)
+            slot = slot[left]
+            while len(left):
+                if (self.keys[slot] == self.FREE).any():
+                    raise KeyError("a gram without a value")
+                slot = (slot + 1) & self.mask
+                hit = self.keys[slot] == own[left]
+                part[left[hit]] = self.values[slot[hit]]
+                slot, left = slot[~hit], left[~hit]
+            out[a : a + (1 << 16)] = part
+        return out
+
+
+def sums(words: list[bytes], table: Lookup, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each joined text the sum of the values of its grams, which the table all holds, and their number."""
+    out, sizes = np.zeros(len(words)), np.zeros(len(words), np.int64)
     for a, b in batches_of(words):
         found, n = grams(words[a:b], depth)
-        at = np.searchsorted(keys, found)
-        out[a:b] = np.add.reduceat(values[at].astype(np.float64), np.cumsum(n) - n)
+        out[a:b] = np.add.reduceat(table(found), np.cumsum(n) - n)
         sizes[a:b] = n
     return out, sizes
 
 
 def blocks(docs: DataFrame, id_col: str, text_col: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """docs with the column __block: by hash of id and text, about block_bytes of text each."""
-    total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    return docs.withColumn("__block", F.pmod(F.xxhash64(id_col, text_col), F.lit(max(1, -(-total // block_bytes)))).cast("int"))
+    """docs with the column __block: by hash of id and text, about block_bytes of text each.
+
+    Rows that agree in both are spread over all blocks by position where they are more than a block's share; such
+    rows are all alike, so it does not matter which of them lies where if a task is run again."""
+    key = F.xxhash64(id_col, text_col)
+    size = docs.agg(F.sum(F.octet_length(text_col)).alias("bytes"), F.count("*").alias("rows")).first()
+    total = size["bytes"] or 0
+    n = max(1, -(-total // block_bytes), min(LEAST_BLOCKS, total // min(LEAST_BYTES, block_bytes)))
+    often = docs.groupBy(key.alias("__key")).agg(F.count("*").alias("__n")).where(F.col("__n") > max(1000, size["rows"] // n))
+    often = [r["__key"] for r in often.select("__key").collect()]  # fewer than n
+    place = F.when(key.isin(often), F.monotonically_increasing_id()).otherwise(key) if often else key
+    return docs.withColumn("__block", F.pmod(place, F.lit(n)).cast("int"))
 
 
 def summed(docs: DataFrame, table: DataFrame, depth: int, id_col: str, text_col: str, lower: bool, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -149,24 +196,24 @@ def summed(docs: DataFrame, table: DataFrame, depth: int, id_col: str, text_col:
     schema = StructType([*docs.schema.fields, StructField("__sum", DoubleType()), StructField("__grams", LongType())])
     at_text = columns.index(text_col)
 
-    def scored(batch: pa.RecordBatch | pa.Table, keys: np.ndarray, values: np.ndarray) -> list:
+    def scored(batch: pa.RecordBatch | pa.Table, values: Lookup) -> list:
         found, sizes = [], []
         texts = batch.column(at_text)
         for at in range(0, batch.num_rows, 512):
-            s, n = sums(texts.slice(at, 512).to_pylist(), keys, values, depth, lower)
+            s, n = sums([joined(t, lower) for t in texts.slice(at, 512).to_pylist()], values, depth)
             found.append(s)
             sizes.append(n)
         return [pa.array(np.concatenate(found) if found else [], pa.float64()), pa.array(np.concatenate(sizes) if sizes else [], pa.int64())]
 
     if table.count() <= broadcast_rows:
         got = table.select("gram", "value").toArrow()
-        keys = got["gram"].to_numpy().astype(np.uint64)
-        order = np.argsort(keys)
-        shared = spark.sparkContext.broadcast((keys[order], got["value"].to_numpy().astype(np.float32)[order]))
+        shared, made = spark.sparkContext.broadcast((got["gram"].to_numpy().astype(np.uint64), got["value"].to_numpy())), []
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                yield pa.RecordBatch.from_arrays([*batch.columns, *scored(batch, *shared.value)], names=[*columns, "__sum", "__grams"])
+                if not made:
+                    made.append(Lookup(*shared.value))
+                yield pa.RecordBatch.from_arrays([*batch.columns, *scored(batch, made[0])], names=[*columns, "__sum", "__grams"])
 
         return docs.mapInArrow(run, schema)
 
@@ -184,10 +231,8 @@ def summed(docs: DataFrame, table: DataFrame, depth: int, id_col: str, text_col:
     needed = placed.groupBy("__block").applyInArrow(distinct, "__block int, gram bigint").join(table.select("gram", "value"), "gram")
 
     def meet(own: pa.Table, values: pa.Table) -> pa.Table:
-        keys = values.column("gram").to_numpy().astype(np.uint64)
-        order = np.argsort(keys)
         out = own.select(columns)
-        s, n = scored(out, keys[order], values.column("value").to_numpy()[order])
+        s, n = scored(out, Lookup(values.column("gram").to_numpy().astype(np.uint64), values.column("value").to_numpy()))
         return pa.table([*out.columns, s, n], names=[*columns, "__sum", "__grams"])
 
     return placed.groupBy("__block").cogroup(needed.groupBy("__block")).applyInArrow(meet, schema)
