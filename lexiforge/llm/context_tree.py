@@ -8,7 +8,8 @@ the subtrees (contexts of two bytes and fewer) is 256^3 rows at most, far fewer
 
 Texts are words joined by single spaces, with an end; their words are also scored by a smoothed unigram model (the base).
 Documents are grouped into blocks of bounded size by hash. A block's distinct words and grams, not their occurrences, are
-shuffled, joined to the corpus counts and brought back to the block. The code length is also given in bits a byte.
+counted over the corpus. What the most blocks hold (OFTEN_GRAMS, OFTEN_WORDS at most) is broadcast; the rest, which few
+blocks hold, is joined and brought back to its blocks. The code length is also given in bits a byte.
 
 Five bytes of context say less than whole words do: trained on few texts the model loses to the base on held-out ones (README),
 and with more text it wins. Longer contexts would need more distinct grams than the shuffle allows.
@@ -35,6 +36,8 @@ from . import common, ngrams
 DEPTH = 5
 #: Context bytes that all contexts of one task share.
 ROOT = 3
+#: Grams (12 bytes each) and words that are broadcast at most.
+OFTEN_GRAMS, OFTEN_WORDS = 2_000_000, 400_000
 END_WORD = "\n"
 _HALF = math.log(0.5)
 
@@ -166,9 +169,9 @@ def _packed_rows(values: np.ndarray) -> pa.Array:
 
 
 def gram_values(counts: DataFrame, tasks: int) -> DataFrame:
-    """gram, value: log10 of each gram's probability, from gram, n (0: only in texts to score)."""
+    """gram, often, value: log10 of each gram's probability, from gram, n (0: only in texts to score), often."""
     spark = counts.sparkSession
-    schema = "gram bigint, mixed binary, node bigint, n0 double, n1 double, logpw double"
+    schema = "gram bigint, often boolean, mixed binary, node bigint, n0 double, n1 double, logpw double"
 
     def subtree(own: pa.Table) -> pa.Table:
         keys, n = own.column("gram").to_numpy().astype(np.uint64), own.column("n").to_numpy()
@@ -176,9 +179,9 @@ def gram_values(counts: DataFrame, tasks: int) -> DataFrame:
         keys = keys[order]
         mixed, nodes = weighted(keys, n[order].astype(np.float64))
         none = pa.nulls(len(keys))
-        part = pa.table({"gram": pa.array(keys.astype(np.int64)), "mixed": _packed_rows(mixed), "node": none.cast(pa.int64()), **{c: none.cast(pa.float64()) for c in ("n0", "n1", "logpw")}})
+        part = pa.table({"gram": pa.array(keys.astype(np.int64)), "often": own.column("often").take(pa.array(order)), "mixed": _packed_rows(mixed), "node": none.cast(pa.int64()), **{c: none.cast(pa.float64()) for c in ("n0", "n1", "logpw")}})
         none = pa.nulls(len(nodes["node"]))
-        return pa.concat_tables([part, pa.table({"gram": none.cast(pa.int64()), "mixed": none.cast(pa.binary()), "node": pa.array(nodes["node"].astype(np.int64)), **{c: pa.array(nodes[c]) for c in ("n0", "n1", "logpw")}})])
+        return pa.concat_tables([part, pa.table({"gram": none.cast(pa.int64()), "often": none.cast(pa.bool_()), "mixed": none.cast(pa.binary()), "node": pa.array(nodes["node"].astype(np.int64)), **{c: pa.array(nodes[c]) for c in ("n0", "n1", "logpw")}})])
 
     # a root has at most 256^(DEPTH - ROOT + 1) grams, however large the corpus
     placed = counts.withColumn("task", F.pmod(F.xxhash64(F.shiftright("gram", 8 * (DEPTH - ROOT + 1))), F.lit(tasks)))
@@ -187,15 +190,16 @@ def gram_values(counts: DataFrame, tasks: int) -> DataFrame:
     key = F.shiftleft(F.shiftright("node", 16), 8).bitwiseOR(F.col("node").bitwiseAND(F.lit(255).cast("bigint")))
     nodes = trees.where("node IS NOT NULL").groupBy(key.alias("key")).agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("logpw").alias("children"))
     top = spark.sparkContext.broadcast(tops(nodes.toArrow()))  # at most 256^3 rows, whatever the corpus; UTF-8 text has far fewer
-    values = common.spark_schema(spark, "gram bigint, value double")
+    values = common.spark_schema(spark, "gram bigint, often boolean, value float")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             grams = batch.column(0).to_numpy()
-            mixed = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.float32).reshape(-1, 8)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(finished(grams.astype(np.uint64), mixed, top.value))], names=["gram", "value"])
+            mixed = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.float32).reshape(-1, 8)
+            value = finished(grams.astype(np.uint64), mixed, top.value).astype(np.float32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(value)], names=["gram", "often", "value"])
 
-    return trees.where("gram IS NOT NULL").select("gram", "mixed").mapInArrow(rows, values)
+    return trees.where("gram IS NOT NULL").select("gram", "often", "mixed").mapInArrow(rows, values)
 
 
 def trains(id_col: str) -> Column:
@@ -213,8 +217,21 @@ def _column(rows: pa.Table, name: str, kind: pa.DataType) -> pa.Array:
     return pa.concat_arrays([c.cast(kind) for c in rows.column(name).chunks] or [pa.array([], kind)])
 
 
-def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train: Column | None = None, block_bytes: int = ngrams.BLOCK_BYTES) -> DataFrame:
+def often(counts: DataFrame, most: int) -> Column:
+    """Whether a row of counts (blocks) is in so many blocks that at most `most` rows are in as many."""
+    level = F.floor(F.log2("blocks") * 16).cast("int")
+    least, room = 1 << 30, most
+    for r in counts.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():  # a few hundred levels
+        room -= r["count"]
+        if room < 0:
+            break
+        least = r["level"]
+    return level >= least
+
+
+def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train: Column | None = None, block_bytes: int = ngrams.BLOCK_BYTES, often_grams: int = OFTEN_GRAMS, often_words: int = OFTEN_WORDS) -> DataFrame:
     """Base and model score of every text, and the model's code length in bits a byte. train: which rows to learn from."""
+    spark = docs.sparkSession
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), (trains(id_col) if train is None else train).alias("train"))
     placed = ngrams.blocks(own, "doc_id", "text", block_bytes)
 
@@ -241,23 +258,30 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", trai
 
     seen = common.written(placed.groupBy("__block").applyInArrow(gathered, "__block int, word string, gram bigint, n bigint"))
     words = seen.where("word IS NOT NULL").select("__block", "word", "n")
-    of_word = common.written(words.groupBy("word").agg(F.sum("n").cast("double").alias("value")))
+    in_blocks = F.count("*").alias("blocks")
+    of_word = common.written(words.groupBy("word").agg(F.sum("n").cast("double").alias("value"), in_blocks))
     total = of_word.agg(F.sum("value").cast("bigint"), F.count(F.when(F.col("value") > 0, 1))).first()
     n_train, n_distinct = total[0] or 0, total[1] or 0
-    counts = common.checkpointed(seen.where("gram IS NOT NULL").groupBy("gram").agg(F.sum("n").alias("n")))
-    values = common.checkpointed(gram_values(counts, max(16, counts.count() // 100_000)))
-    # one row for each word or gram on the right, so that one of every block is split over tasks
-    known = words.select("__block", "word").join(of_word, "word").select("__block", "word", F.lit(None).cast("bigint").alias("gram"), "value")
-    in_block = seen.where("gram IS NOT NULL").select("__block", "gram").join(values, "gram")
+    counts = common.checkpointed(seen.where("gram IS NOT NULL").groupBy("gram").agg(F.sum("n").alias("n"), in_blocks))
+    values = common.checkpointed(gram_values(counts.withColumn("often", often(counts, often_grams)).drop("blocks"), max(16, counts.count() // 100_000)))
+    of_word = of_word.withColumn("often", often(of_word, often_words)).drop("blocks")
+    top_words, top_grams = (t.where("often").drop("often") for t in (of_word, values))
+    got = [t.toArrow() for t in (top_words, top_grams)]
+    shared = spark.sparkContext.broadcast((_column(got[0], "word", pa.large_binary()), got[0].column("value").to_numpy(), got[1].column("gram").to_numpy().astype(np.uint64), got[1].column("value").to_numpy()))
+    # the others, each word or gram once on the right, so that one of many blocks is split over tasks
+    rare = lambda of, key, found, all_of: of.join(F.broadcast(found.select(key)), key, "left_anti").join(all_of.where("NOT often").drop("often"), key)
+    known = rare(words.select("__block", "word"), "word", top_words, of_word).select("__block", "word", F.lit(None).cast("bigint").alias("gram"), "value")
+    in_block = rare(seen.where("gram IS NOT NULL").select("__block", "gram"), "gram", top_grams, values)
     known = known.unionByName(in_block.select("__block", F.lit(None).cast("string").alias("word"), "gram", "value"))
     norm = n_train + 0.5 * (n_distinct + 1)
 
     def meet(block: pa.Table, known: pa.Table) -> pa.Table:
         is_word = known.column("word").is_valid()
         rest = known.filter(pc.invert(is_word))
-        table = ngrams.Lookup(rest.column("gram").to_numpy().astype(np.uint64), rest.column("value").to_numpy())
+        top_word, top_count, top_gram, top_value = shared.value
+        tables = [ngrams.Lookup(top_gram, top_value), ngrams.Lookup(rest.column("gram").to_numpy().astype(np.uint64), rest.column("value").to_numpy().astype(np.float32))]
         known = known.filter(is_word)
-        names, count = _column(known, "word", pa.large_binary()), known.column("value").to_numpy()
+        names, count = pa.concat_arrays([top_word, _column(known, "word", pa.large_binary())]), np.append(top_count, known.column("value").to_numpy())
         texts = [ngrams.joined(t, True) for t in block.column("text").to_pylist()]
         words, at, begins = _words(texts)
         found = pc.index_in(words, names)
@@ -268,7 +292,7 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", trai
         base = per_text(cost) + math.log10((end + 0.5) / norm)
         n_tokens = per_text((~np.isnan(of)).astype(np.int64)) + 1
         n_known = per_text((of > 0).astype(np.int64)) + int(end > 0)
-        score, n_bytes = ngrams.sums(texts, table, DEPTH)
+        score, n_bytes = ngrams.sums(texts, tables, DEPTH)
         held = pc.invert(_column(block, "train", pa.bool_()))
         return pa.table({"doc_id": block.column("doc_id"), "held_out": held, "n_tokens": pa.array(n_tokens, pa.int64()), "n_known": pa.array(n_known, pa.int64()), "train_tokens": pa.array(np.full(len(texts), n_train), pa.int64()), "base_score": pa.array(base), "score": pa.array(score), "n_bytes": pa.array(n_bytes, pa.int64()), "bits_per_byte": pa.array(score * -math.log2(10) / n_bytes)})
 

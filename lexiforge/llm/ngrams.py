@@ -130,7 +130,7 @@ class Lookup:
     def __init__(self, keys: np.ndarray, values: np.ndarray):
         bits = max(4, (2 * len(keys)).bit_length())
         self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
-        self.keys, self.values = np.full(1 << bits, self.FREE), np.zeros(1 << bits)
+        self.keys, self.values = np.full(1 << bits, self.FREE), np.zeros(1 << bits, values.dtype)
         slot, left = self._home(keys), np.arange(len(keys))
         while len(left):
             free = self.keys[slot] == self.FREE
@@ -143,17 +143,18 @@ class Lookup:
         return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
 
     def __call__(self, keys: np.ndarray) -> np.ndarray:
+        """Each key's value; nan for a key that is not there."""
         out = np.empty(len(keys))
         for a in range(0, len(keys), 1 << 16):
             own = keys[a : a + (1 << 16)]
             slot = self._home(own)
-            part = self.values[slot]
+            part = self.values[slot].astype(np.float64)
             left = np.flatnonzero(self.keys[slot] != own)
             slot = slot[left]
+            part[left] = np.nan
             while len(left):
-                if (self.keys[slot] == self.FREE).any():
-                    raise KeyError("a gram without a value")
-                slot = (slot + 1) & self.mask
+                there = self.keys[slot] != self.FREE
+                slot, left = (slot[there] + 1) & self.mask, left[there]
                 hit = self.keys[slot] == own[left]
                 part[left[hit]] = self.values[slot[hit]]
                 slot, left = slot[~hit], left[~hit]
@@ -161,12 +162,18 @@ class Lookup:
         return out
 
 
-def sums(words: list[bytes], table: Lookup, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each joined text the sum of the values of its grams, which the table all holds, and their number."""
+def sums(words: list[bytes], tables: list[Lookup], depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each joined text the sum of the values of its grams, each of which one of the tables holds, and their number."""
     out, sizes = np.zeros(len(words)), np.zeros(len(words), np.int64)
     for a, b in batches_of(words):
         found, n = grams(words[a:b], depth)
-        out[a:b] = np.add.reduceat(table(found), np.cumsum(n) - n)
+        value = tables[0](found)
+        for table in tables[1:]:
+            left = np.flatnonzero(np.isnan(value))
+            value[left] = table(found[left])
+        if np.isnan(value).any():
+            raise KeyError("a gram without a value")
+        out[a:b] = np.add.reduceat(value, np.cumsum(n) - n)
         sizes[a:b] = n
     return out, sizes
 
@@ -200,7 +207,7 @@ def summed(docs: DataFrame, table: DataFrame, depth: int, id_col: str, text_col:
         found, sizes = [], []
         texts = batch.column(at_text)
         for at in range(0, batch.num_rows, 512):
-            s, n = sums([joined(t, lower) for t in texts.slice(at, 512).to_pylist()], values, depth)
+            s, n = sums([joined(t, lower) for t in texts.slice(at, 512).to_pylist()], [values], depth)
             found.append(s)
             sizes.append(n)
         return [pa.array(np.concatenate(found) if found else [], pa.float64()), pa.array(np.concatenate(sizes) if sizes else [], pa.int64())]

@@ -74,13 +74,16 @@ def test_scores_equal_brute_force(spark):
     rows = [(i, t) for i, t in enumerate(["the cat sat on the mat", "the dog sat on a log", "a cat and a dog", "The mat and the log", "zebra quick", "the cat", None, "mat mat mat"])]
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
     train = [t for i, t in rows if crc(i) != 1]
-    for size in (40, 10**6):  # many blocks, one block
-        found = {r["doc_id"]: r for r in context_tree.scored(df, block_bytes=size).collect()}
+    seen = []
+    for size, most in ((40, 10**6), (10**6, 10**6), (40, 0), (40, 30)):  # many blocks, one block; all broadcast, none, some
+        found = {r["doc_id"]: r for r in context_tree.scored(df, block_bytes=size, often_grams=most, often_words=most).collect()}
+        seen.append({k: tuple(r) for k, r in found.items()})
         for i, t in rows:
             own = brute_score(train, t, context_tree.DEPTH)
             assert found[i]["held_out"] == (crc(i) == 1) and found[i]["score"] == pytest.approx(own, abs=2e-4)
             n = len(b" ".join(words(t))) + 1
             assert found[i]["n_bytes"] == n and found[i]["bits_per_byte"] == pytest.approx(-own / math.log10(2) / n, abs=2e-3)
+    assert seen[0] == seen[2] == seen[3] and seen[0].keys() == seen[1].keys()
 
 
 def test_lookup_finds_all_and_nothing_else():
@@ -90,8 +93,9 @@ def test_lookup_finds_all_and_nothing_else():
     table = ngrams.Lookup(keys, np.arange(len(keys), dtype=float))
     at = rnd.integers(0, len(keys), 200_000)
     assert (table(keys[at]) == at).all() and len(ngrams.Lookup(keys[:0], np.zeros(0))(keys[:0])) == 0
+    assert np.isnan(table(np.arange(2**50, 2**50 + 100, dtype=np.uint64))).all()
     with pytest.raises(KeyError):
-        table(np.array([2**50], np.uint64))
+        ngrams.sums([b"abc"], [table], 5)
 
 
 def test_alike_rows_are_spread_over_blocks(spark):
@@ -116,7 +120,7 @@ def test_score_query(spark, documents):
 def test_probabilities_sum_to_one(spark):
     df = spark.createDataFrame([(1, "abracadabra alakazam")], "doc_id bigint, text string")
     counts = ngrams.counted(df.withColumn("t", F.lit(True)), context_tree.DEPTH, "text", "t", True)
-    every = counts.select(F.explode(F.expr("transform(sequence(0L, 255L), b -> shiftright(gram, 8) * 256 + b)")).alias("gram")).distinct().join(counts, "gram", "left").select("gram", F.coalesce("n", F.lit(0)).alias("n"))
+    every = counts.select(F.explode(F.expr("transform(sequence(0L, 255L), b -> shiftright(gram, 8) * 256 + b)")).alias("gram")).distinct().join(counts, "gram", "left").select("gram", F.coalesce("n", F.lit(0)).alias("n"), F.lit(False).alias("often"))
     sums = context_tree.gram_values(every, 4).groupBy(F.shiftright("gram", 8)).agg(F.sum(F.pow(10.0, "value")).alias("s")).collect()
     assert len(sums) > 5 and all(r["s"] == pytest.approx(1, abs=1e-4) for r in sums)
 
