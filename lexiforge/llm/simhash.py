@@ -48,7 +48,11 @@ def simhash(text: str | None, size: int = SHINGLE, seed: int = SEED) -> int:
     grams = shingles(words_of(text), size)
     if not grams:
         return 0
-    hashes = np.fromiter(map(partial(xxhash.xxh64_intdigest, seed=seed), grams), np.uint64, len(grams))
+    return majority(np.fromiter(map(partial(xxhash.xxh64_intdigest, seed=seed), grams), np.uint64, len(grams)))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The 64 bits that over half of the hashes have, as a signed integer."""
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), _AT_ONCE):
         part = hashes[at : at + _AT_ONCE].view(np.uint8).reshape(-1, 8)
@@ -137,13 +141,15 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def first_rows(docs: DataFrame, rooted: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The row of docs that stands for each root of rooted (id, text_hash, root)."""
+    """The row of docs that stands for each root of rooted (id, text_hash, root); of rows that agree in id and text, one."""
     row = F.struct(F.col(id_col).isNull().alias("lacks"), F.col(id_col).alias("id"), "text_hash")
     found = rooted.groupBy("root").agg(F.min(row).alias("row"))
-    keep = found.select(F.col("row.id").alias("__id"), F.col("row.text_hash").alias("__hash")).distinct()
-    own = F.xxhash64(docs[text_col])
-    chosen = docs.join(keep, docs[id_col].eqNullSafe(keep["__id"]) & (own == keep["__hash"]), "left_semi")
-    return chosen.withColumn("__hash", F.xxhash64(text_col)).dropDuplicates([id_col, "__hash"]).drop("__hash")
+    taken = {c.lower() for c in docs.columns}
+    key, own = (next(n for n in (f"__{name}{k or ''}" for k in range(len(taken) + 1)) if n not in taken) for name in ("id", "hash"))
+    keep = found.select(F.col("row.id").alias(key), F.col("row.text_hash").alias(own)).distinct()
+    placed = docs.withColumn(own, F.xxhash64(text_col))
+    chosen = placed.join(keep, placed[id_col].eqNullSafe(keep[key]) & (placed[own] == keep[own]), "left_semi")
+    return chosen.dropDuplicates([id_col, own]).drop(own)
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
