@@ -25,8 +25,8 @@ from . import common
 
 #: Words longer than this (in bytes) are merged by heap instead of by scanning.
 LONG_WORD = 128
-#: Entries of one generation of a worker's word memory.
-REMEMBERED = 400_000
+#: Entries of one generation of a worker's word memory, and the longest one remembered (in characters).
+REMEMBERED, LONGEST = 400_000, 64
 INF = 1 << 40
 _MARKS = (".", ",", ";", ":", "!", "?", ")")
 
@@ -53,6 +53,8 @@ class Remembered(dict):
         value = self.old.get(key)
         if value is None:
             value = self.make(key)
+        if len(key) > LONGEST:
+            return value
         if len(self) >= self.size:
             self.old = dict(self)
             self.clear()

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows that a Python step turns into lists at once; keeps a worker's memory flat whatever the Arrow batch size.
-ROWS_AT_ONCE = 2048
+from ..plans.lineage_cut import cut as checkpointed
+from ..plans.lineage_cut import written
+
+__all__ = ["checkpointed", "map_rows", "pieces", "read_table", "spark_schema", "tokenizer_path", "written"]
+
+#: Rows and bytes of text that a Python step turns into lists at once; keeps a worker's memory flat whatever the Arrow batch holds.
+ROWS_AT_ONCE, BYTES_AT_ONCE = 2048, 4 << 20
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,36 +29,22 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which driver and executors share; a temporary one only where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    sc = spark.sparkContext
-    if not found:
-        current = sc.getCheckpointDir()
-        if current:
-            return current
-        found = f"file://{tempfile.mkdtemp(prefix='lexiforge-')}"
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(found)
-    return found
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint: cuts the lineage and outlives lost executors."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def written(df: DataFrame) -> DataFrame:
-    """df as a Parquet table in the shared folder: smaller than a checkpoint, for wide intermediate results."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def pieces(batch: pa.RecordBatch | pa.Table, most_rows: int = ROWS_AT_ONCE, most_bytes: int = BYTES_AT_ONCE) -> Iterator:
+    """Slices of at most most_rows rows and about most_bytes of strings; a longer text is a slice of its own."""
+    sizes = np.zeros(batch.num_rows, np.int64)
+    for column in batch.columns:
+        if pa.types.is_string(column.type) or pa.types.is_large_string(column.type) or pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type):
+            sizes += pc.fill_null(pc.binary_length(column), 0).to_numpy()
+    ends, at = np.cumsum(sizes), 0
+    while at < batch.num_rows:
+        before = ends[at - 1] if at else 0
+        end = max(at + 1, min(at + most_rows, int(np.searchsorted(ends, before + most_bytes, side="right"))))
+        yield batch.slice(at, end - at)
+        at = end
 
 
 def map_rows(df: DataFrame, rows: Callable[..., Iterator | list], schema: str) -> DataFrame:
-    """Apply rows(columns...) to column lists of at most ROWS_AT_ONCE rows; it returns a list of output columns."""
+    """Apply rows(columns...) to column lists of at most ROWS_AT_ONCE rows and about BYTES_AT_ONCE of text; it returns a list of output columns."""
     out = spark_schema(df.sparkSession, schema)
     names = [f.name for f in out]
 
@@ -62,8 +53,7 @@ def map_rows(df: DataFrame, rows: Callable[..., Iterator | list], schema: str) -
 
         target = to_arrow_schema(out)
         for batch in batches:
-            for at in range(0, batch.num_rows, ROWS_AT_ONCE):
-                part = batch.slice(at, ROWS_AT_ONCE)
+            for part in pieces(batch):
                 cols = rows(*(c.to_pylist() for c in part.columns))
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=target.field(n).type) for c, n in zip(cols, names, strict=True)], schema=target)
 

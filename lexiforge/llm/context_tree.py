@@ -237,16 +237,20 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", trai
 
     def gathered(block: pa.Table) -> pa.Table:
         """The block's distinct words and grams, with their counts in its training texts."""
-        texts, learn = [ngrams.joined(t, True) for t in block.column("text").to_pylist()], np.array(block.column("train").to_pylist(), bool)
-        words, at, begins = _words(texts)
-        n_words = np.bincount(at, weights=np.repeat(learn, np.diff(begins)), minlength=len(words)).astype(np.int64)
-        real = pc.greater(pc.binary_length(words), 0)
-        words, n_words = pa.concat_arrays([words.filter(real), pa.array([END_WORD.encode()], pa.large_binary())]), np.append(n_words[real.to_numpy(zero_copy_only=False)], learn.sum())
-        counts = ngrams.Counts()
-        for flag in (True, False):
-            chosen = [t for t, yes in zip(texts, learn.tolist(), strict=True) if yes == flag]
-            for a, b in ngrams.batches_of(chosen):
-                counts.add(ngrams.grams(chosen[a:b], DEPTH)[0], flag)
+        counts, own, trained = ngrams.Counts(), [], 0
+        for part in common.pieces(block):
+            texts, learn = [ngrams.joined(t, True) for t in part.column("text").to_pylist()], np.array(part.column("train").to_pylist(), bool)
+            words, at, begins = _words(texts)
+            own.append(pa.table({"word": words, "n": np.bincount(at, weights=np.repeat(learn, np.diff(begins)), minlength=len(words)).astype(np.int64)}))
+            trained += int(learn.sum())
+            for flag in (True, False):
+                chosen = [t for t, yes in zip(texts, learn.tolist(), strict=True) if yes == flag]
+                for a, b in ngrams.batches_of(chosen):
+                    counts.add(ngrams.grams(chosen[a:b], DEPTH)[0], flag)
+        found = pa.concat_tables(own).group_by("word").aggregate([("n", "sum")])
+        found = found.filter(pc.greater(pc.binary_length(found["word"]), 0))  # without the empty word of empty texts
+        words = pa.concat_arrays([_column(found, "word", pa.large_binary()), pa.array([END_WORD.encode()], pa.large_binary())])
+        n_words = np.append(found["n_sum"].to_numpy(), trained)
         keys, n = counts.merge()
         number = block.column("__block")[0].as_py()
         return pa.table({
@@ -282,19 +286,20 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", trai
         tables = [ngrams.Lookup(top_gram, top_value), ngrams.Lookup(rest.column("gram").to_numpy().astype(np.uint64), rest.column("value").to_numpy().astype(np.float32))]
         known = known.filter(is_word)
         names, count = pa.concat_arrays([top_word, _column(known, "word", pa.large_binary())]), np.append(top_count, known.column("value").to_numpy())
-        texts = [ngrams.joined(t, True) for t in block.column("text").to_pylist()]
-        words, at, begins = _words(texts)
-        found = pc.index_in(words, names)
-        of = np.where(found.is_valid().to_numpy(zero_copy_only=False), count[found.fill_null(0).to_numpy()], np.nan)  # nan: the empty word
         end = count[pc.index_in(pa.array([END_WORD.encode()], pa.large_binary()), names)[0].as_py()]
-        cost = np.where(np.isnan(of), 0.0, np.log10((of + 0.5) / norm))
-        per_text = lambda each: np.add.reduceat(each[at], begins[:-1])
-        base = per_text(cost) + math.log10((end + 0.5) / norm)
-        n_tokens = per_text((~np.isnan(of)).astype(np.int64)) + 1
-        n_known = per_text((of > 0).astype(np.int64)) + int(end > 0)
-        score, n_bytes = ngrams.sums(texts, tables, DEPTH)
+        out: list[list[np.ndarray]] = []
+        for part in common.pieces(block):
+            texts = [ngrams.joined(t, True) for t in part.column("text").to_pylist()]
+            words, at, begins = _words(texts)
+            found = pc.index_in(words, names)
+            of = np.where(found.is_valid().to_numpy(zero_copy_only=False), count[found.fill_null(0).to_numpy()], np.nan)  # nan: the empty word
+            per_text = lambda each: np.add.reduceat(each[at], begins[:-1])  # noqa: B023, E731
+            base = per_text(np.where(np.isnan(of), 0.0, np.log10((of + 0.5) / norm))) + math.log10((end + 0.5) / norm)
+            known_words = per_text((of > 0).astype(np.int64)) + int(end > 0)
+            out.append([per_text((~np.isnan(of)).astype(np.int64)) + 1, known_words, base, *ngrams.sums(texts, tables, DEPTH)])
+        n_tokens, n_known, base, score, n_bytes = (np.concatenate(c) for c in zip(*out, strict=True)) if out else [np.zeros(0)] * 5
         held = pc.invert(_column(block, "train", pa.bool_()))
-        return pa.table({"doc_id": block.column("doc_id"), "held_out": held, "n_tokens": pa.array(n_tokens, pa.int64()), "n_known": pa.array(n_known, pa.int64()), "train_tokens": pa.array(np.full(len(texts), n_train), pa.int64()), "base_score": pa.array(base), "score": pa.array(score), "n_bytes": pa.array(n_bytes, pa.int64()), "bits_per_byte": pa.array(score * -math.log2(10) / n_bytes)})
+        return pa.table({"doc_id": block.column("doc_id"), "held_out": held, "n_tokens": pa.array(n_tokens, pa.int64()), "n_known": pa.array(n_known, pa.int64()), "train_tokens": pa.array(np.full(block.num_rows, n_train), pa.int64()), "base_score": pa.array(base), "score": pa.array(score), "n_bytes": pa.array(n_bytes, pa.int64()), "bits_per_byte": pa.array(score * -math.log2(10) / n_bytes)})
 
     schema = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, n_bytes bigint, bits_per_byte double"
     return placed.groupBy("__block").cogroup(known.groupBy("__block")).applyInArrow(meet, schema)

@@ -23,7 +23,7 @@ BROADCAST_ROWS = 2_000_000
 #: Text bytes that a block of documents holds, on average; small tables have up to LEAST_BLOCKS blocks of LEAST_BYTES or more.
 BLOCK_BYTES, LEAST_BLOCKS, LEAST_BYTES = 16_000_000, 24, 100_000
 #: Bytes whose grams are sorted at once.
-_AT_ONCE = 4_000_000
+_AT_ONCE = 1_000_000
 
 
 def joined(text: str | None, lower: bool) -> bytes:
@@ -71,7 +71,7 @@ class Counts:
             own, n = np.unique(keys[at : at + _AT_ONCE], return_counts=True)
             self.parts.append((own, n if weigh else np.zeros(len(own), np.int64)))
             self.pending += len(own)
-        if self.pending > 2 * _AT_ONCE:
+        if self.pending > 3 * _AT_ONCE:
             self.merge()
 
     def merge(self) -> tuple[np.ndarray, np.ndarray]:
@@ -107,8 +107,7 @@ def counted(docs: DataFrame, depth: int, text_col: str, train_col: str, lower: b
 
         counts = Counts()
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for part in common.pieces(batch):
                 for train in (True, False):
                     own = [joined(t, lower) for t, f in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True) if bool(f) == train]
                     for a, b in batches_of(own):
@@ -205,9 +204,8 @@ def summed(docs: DataFrame, table: DataFrame, depth: int, id_col: str, text_col:
 
     def scored(batch: pa.RecordBatch | pa.Table, values: Lookup) -> list:
         found, sizes = [], []
-        texts = batch.column(at_text)
-        for at in range(0, batch.num_rows, 512):
-            s, n = sums([joined(t, lower) for t in texts.slice(at, 512).to_pylist()], [values], depth)
+        for part in common.pieces(batch):
+            s, n = sums([joined(t, lower) for t in part.column(at_text).to_pylist()], [values], depth)
             found.append(s)
             sizes.append(n)
         return [pa.array(np.concatenate(found) if found else [], pa.float64()), pa.array(np.concatenate(sizes) if sizes else [], pa.int64())]
@@ -228,8 +226,8 @@ def summed(docs: DataFrame, table: DataFrame, depth: int, id_col: str, text_col:
 
     def distinct(own: pa.Table) -> pa.Table:
         counts = Counts()
-        for at in range(0, own.num_rows, 512):
-            words = [joined(t, lower) for t in own.column(text_col).slice(at, 512).to_pylist()]
+        for part in common.pieces(own):
+            words = [joined(t, lower) for t in part.column(text_col).to_pylist()]
             for a, b in batches_of(words):
                 counts.add(grams(words[a:b], depth)[0], False)
         keys = counts.merge()[0]

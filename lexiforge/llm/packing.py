@@ -37,8 +37,10 @@ TIERS = (2048, 1024, 512, 256)
 END_ID = 1
 #: Windows of the longest tier that a step group holds.
 GROUP_WINDOWS = 32
-#: Words whose ids a worker remembers at most.
-REMEMBERED = 700_000
+#: Rows and bytes of text of a block, which is packed by itself.
+BLOCK_ROWS, BLOCK_BYTES = 10_000, 64 << 20
+#: Words whose ids a worker remembers at most, and the longest one remembered.
+REMEMBERED, LONGEST = 700_000, 64
 SCHEMA = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, tier int, step_group bigint"
 
 
@@ -118,7 +120,7 @@ class WordIds:
                 out[i] = b"".join([new[w] if ids is None else ids for w, ids in zip(*x, strict=True)])
         if len(self.known) + len(new) > REMEMBERED:  # a generation is full: begin with this block's words
             self.known = {}
-        self.known.update(new)
+        self.known.update((w, ids) for w, ids in new.items() if len(w) <= LONGEST)
         return out
 
 
@@ -210,10 +212,10 @@ def packed(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
         target, words = to_arrow_schema(schema), made(source.value)
         sequence = group = TaskContext.get().partitionId() << 36
         end = np.array([end_id], "<u4").tobytes()
-        for batch in batches:
-            ids, packed_ids = batch.column(0).to_pylist(), []
-            for at in range(0, batch.num_rows, common.ROWS_AT_ONCE):
-                packed_ids += [x + end for x in words.encode_all([t or "" for t in batch.column(1).slice(at, common.ROWS_AT_ONCE).to_pylist()])]
+        for piece in (p for batch in batches for p in common.pieces(batch, BLOCK_ROWS, BLOCK_BYTES)):
+            ids, packed_ids = piece.column(0).to_pylist(), []
+            for part in common.pieces(piece):
+                packed_ids += [x + end for x in words.encode_all([t or "" for t in part.column(1).to_pylist()])]
             windows = pack_block([len(x) // 4 for x in packed_ids], tiers)
             groups = step_groups(windows, tiers[0] * GROUP_WINDOWS)
             rows = []

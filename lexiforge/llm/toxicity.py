@@ -193,8 +193,8 @@ def kept(docs: DataFrame, model: tuple[dict[str, float], tuple[float, float, flo
         found = automaton(lexicon)
         for batch in batches:
             clean = []
-            for begin in range(0, batch.num_rows, common.ROWS_AT_ONCE):
-                measured = (matches(found, t) for t in batch.column(at).slice(begin, common.ROWS_AT_ONCE).to_pylist())
+            for part in common.pieces(batch):
+                measured = (matches(found, t) for t in part.column(at).to_pylist())
                 clean += [score(curve, w, size) < least for w, _, size in measured]
             yield batch.filter(pa.array(clean, pa.bool_()))
 
