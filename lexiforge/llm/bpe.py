@@ -62,15 +62,26 @@ class Remembered(dict):
         return value
 
 
+#: Characters that Python's tables and the tokenizers library's are proven to treat alike (a test compares each of them): ASCII,
+#: letters and signs of Latin, Greek and Cyrillic, punctuation, kana, Han, Hangul and pictographs; no combining marks.
+PROVEN = re.compile("[\x00-\x7e\xa0-\u024f\u0386\u0388-\u038a\u038c\u038e-\u03a1\u03a3-\u03ce\u0400-\u0481\u048a-\u0513\u2010-\u2029\u202f-\u205e\u20a0-\u20b5\u3001-\u3029\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3\uff01-\uff5e\U0001f300-\U0001f5ff\U0001f600-\U0001f64f]*")
+
+
+def proven(text: str) -> bool:
+    return text.isascii() or PROVEN.fullmatch(text) is not None
+
+
 class ByteBPE:
-    """Encoder and decoder for a byte-level BPE tokenizer file."""
+    """Encoder and decoder for a byte-level BPE tokenizer file. Words with characters that are not proven are cut by the library."""
 
     #: Split rule of byte-level vocabularies (fixed value).
     WORD = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
     def __init__(self, source: str):
         import regex
+        from tokenizers import Tokenizer
 
+        self.library = Tokenizer.from_str(source)
         spec = json.loads(source)
         model, letters = spec["model"], byte_alphabet()
         vocab = model["vocab"]
@@ -105,6 +116,8 @@ class ByteBPE:
 
     def chunk(self, chunk: str) -> bytes:
         """The ids of a text between two cuts; a lone word, with or without a mark behind it, needs no pattern."""
+        if not proven(chunk):
+            return b"".join([self.known[chunk[a:b]] for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(chunk)])
         body = chunk[1:] if chunk[:1] == " " else chunk
         if body.isalpha() and "'" not in chunk:
             return self.word(chunk)

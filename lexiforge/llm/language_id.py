@@ -1,8 +1,8 @@
 """Language identification with labelled spans.
 
 Training counts hashed character trigrams of every training text, per language: at most BUCKETS numbers for each
-language and task, added up by Spark. The table that reaches the driver has at most BUCKETS + scripts rows for each
-language; MAX_LANGUAGES bounds it. A word's script narrows its candidates to languages that use that script; letters of a
+language and task, added up by Spark. The table that reaches the driver has at most CELLS numbers, besides those of scripts: with
+more than CELLS / BUCKETS languages the buckets are folded, so that none is left out. A word's script narrows its candidates to languages that use that script; letters of a
 script that is not listed leave all. Each word scores every candidate by its trigrams, and Viterbi with a penalty for switching labels the words; the language with
 the most letters' words is the document's, and its share of them is the score.
 
@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 from . import common
 
 BUCKETS = 1 << 16
-MAX_LANGUAGES = 400
+#: Numbers of the model that is broadcast, and of the scores that are held at once.
+CELLS, SCORES = 26_000_000, 8_000_000
 SWITCH_PENALTY = 14.0
 ROWS = 512
 #: First and last code point of each script, by name.
@@ -105,6 +106,20 @@ def viterbi(scores: np.ndarray, n_words: np.ndarray, penalty: float = SWITCH_PEN
     return best
 
 
+def portions(texts: list, n_langs: int) -> Iterator[list]:
+    """The texts in turn, so many at once that the scores of their words are about SCORES numbers."""
+    begin = cells = 0
+    for i, t in enumerate(texts):
+        own = (len(t or "") // 2 + 1) * n_langs
+        if i > begin and cells + own > SCORES:
+            yield texts[begin:i]
+            begin = i
+            cells = 0
+        cells += own
+    if begin < len(texts):
+        yield texts[begin:]
+
+
 def held_out(id_col: str = "doc_id", part: int = 0) -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == part
 
@@ -118,8 +133,7 @@ def counts(train: DataFrame, text_col: str, lang_col: str) -> DataFrame:
 
         found: dict[str, np.ndarray] = {}
         for batch in batches:
-            for at in range(0, batch.num_rows, ROWS):
-                part = batch.slice(at, ROWS)
+            for part in common.pieces(batch, ROWS):
                 rows = sorted(zip(part.column(1).to_pylist(), part.column(0).to_pylist(), strict=True), key=lambda x: x[0])
                 for lang, own in groupby(rows, key=lambda x: x[0]):
                     grams, _, _, scripts = trigrams([t for _, t in own])
@@ -134,18 +148,20 @@ def counts(train: DataFrame, text_col: str, lang_col: str) -> DataFrame:
     return train.select(text_col, lang_col).mapInArrow(run, schema).groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
 
 
-def learned(train: DataFrame, text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], np.ndarray, np.ndarray]:
+def learned(train: DataFrame, text_col: str = "text", lang_col: str = "lang", cells: int = CELLS) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Languages, their log probabilities [bucket, language], and which languages each script allows [script, language]."""
     table = common.checkpointed(counts(train, text_col, lang_col))
-    langs = [r[0] for r in table.select("lang").distinct().orderBy("lang").limit(MAX_LANGUAGES + 1).collect()]
-    if len(langs) > MAX_LANGUAGES:
-        raise ValueError(f"over {MAX_LANGUAGES} languages; the model table would not be of bounded size")
-    n = np.zeros((BUCKETS + N_SCRIPTS, len(langs)))
-    got = table.toArrow()  # at most (BUCKETS + scripts) x MAX_LANGUAGES rows
+    langs = [r[0] for r in table.select("lang").distinct().orderBy("lang").collect()]
+    buckets = BUCKETS
+    while buckets * len(langs) > cells and buckets > 1:
+        buckets //= 2
+    folded = F.when(F.col("bucket") < BUCKETS, F.pmod("bucket", F.lit(buckets))).otherwise(F.col("bucket") - BUCKETS + buckets)
+    got = table.groupBy("lang", folded.cast("int").alias("bucket")).agg(F.sum("n").alias("n")).toArrow()
+    n = np.zeros((buckets + N_SCRIPTS, len(langs)))
     where = {lang: k for k, lang in enumerate(langs)}
     n[got["bucket"].to_numpy(), [where[x] for x in got["lang"].to_pylist()]] = got["n"].to_numpy()
-    grams, scripts = n[:BUCKETS], n[BUCKETS:]
-    logp = np.log((grams + 0.1) / (grams.sum(axis=0) + 0.1 * BUCKETS)).astype(np.float32)
+    grams, scripts = n[:buckets], n[buckets:]
+    logp = np.log((grams + 0.1) / (grams.sum(axis=0) + 0.1 * buckets)).astype(np.float32)
     allowed = scripts >= 0.001 * np.maximum(scripts.sum(axis=0), 1)
     allowed |= ~allowed.any(axis=1, keepdims=True)
     allowed[OTHER] = True
@@ -161,20 +177,20 @@ def identified(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray],
         pred, share, spans = [], [], []
         if not langs:
             return [ids, ["und"] * len(ids), [0.0] * len(ids), [[]] * len(ids)]
-        scores, sizes, lettered = [], [], []
-        for at in range(0, len(texts), ROWS):
-            grams, begins, n_words, scripts = trigrams(texts[at : at + ROWS])
+        path, sizes, lettered = [], [], []
+        for part in portions(texts, len(langs)):
+            grams, begins, n_words, scripts = trigrams(part)
             s = np.zeros((len(begins), len(langs)), np.float32)
             if len(begins):
+                grams %= len(logp)
                 for k in range(len(langs)):
                     s[:, k] = np.add.reduceat(logp[grams, k], begins)
                 s[~allowed[scripts]] = -1e6
                 s[scripts == 0] = 0
-            scores.append(s)
+            path.append(viterbi(s, n_words, penalty))
             sizes.append(n_words)
             lettered.append(scripts > 0)
-        sizes = np.concatenate(sizes)
-        path, lettered = viterbi(np.concatenate(scores), sizes, penalty), np.concatenate(lettered)
+        sizes, path, lettered = (np.concatenate(x) for x in (sizes, path, lettered))
         end = 0
         for text, n in zip(texts, sizes.tolist(), strict=True):
             own, begin = path[end : end + n], end

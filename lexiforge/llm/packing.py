@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
 from . import common
-from .bpe import byte_alphabet
+from .bpe import byte_alphabet, proven
 
 TIERS = (2048, 1024, 512, 256)
 END_ID = 1
@@ -82,7 +82,7 @@ class WordIds:
         """Ids of many words, looked up in one call."""
         out, plain = {}, []
         for w in words:
-            if "<|" in w or "\u03a3" in w or "\u0130" in w:
+            if "<|" in w or "\u03a3" in w or "\u0130" in w or not proven(w):
                 out[w] = self.slow(w)
             else:
                 plain.append(w)

@@ -5,8 +5,8 @@ the lexicon. Exception phrases cancel the matches inside them. The sum of the we
 length, give the score through a logistic curve.
 
 The lexicon is BASE_WORDS and what labelled texts teach: whole words and word beginnings that toxic texts have far more
-often than clean ones. It and the curve are fitted on at most SAMPLE_TOXIC and SAMPLE_CLEAN labelled rows, those
-with the smallest hash of their id; at most LEXICON entries reach the driver. Scoring covers all rows.
+often than clean ones. It and the curve are fitted on at most SAMPLE_TOXIC and SAMPLE_CLEAN labelled documents, those
+with the smallest hash of their id, one row of each id (the least text hash); so what reaches the driver is bounded too. Scoring covers all rows.
 
 Null and empty texts score as texts without matches. Without labels BASE_WORDS and DEFAULT_CURVE hold. Of labels that share
 an id the most toxic counts; null labels teach nothing. Repeated rows score alike. Only the named columns are read, so
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-SAMPLE_TOXIC, SAMPLE_CLEAN, LEXICON = 4000, 8000, 5000
+SAMPLE_TOXIC, SAMPLE_CLEAN = 4000, 8000
 BASE_WORDS = ("idiot", "moron", "stupid", "loser", "worthless", "pathetic", "disgusting", "scum", "trash", "clown", "imbecile", "dumbass", "asshole", "bastard")
 BASE_WEIGHT = 3.0
 EXCEPTIONS = ("clown fish", "class clown", "trash can", "trash bin", "pond scum", "soap scum", "idiot proof")
@@ -91,7 +91,7 @@ def sampled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, labe
     rows = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).alias("toxic"))
     pick = lambda keep, n: rows.where(keep).orderBy(F.xxhash64(id_col), id_col).limit(n)
     ids = common.checkpointed(pick("toxic = 1", n_toxic).unionByName(pick("toxic = 0", n_clean)).select(F.col(id_col).alias("key"), F.col("toxic").cast("int").alias("toxic")))
-    return docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text")).join(F.broadcast(ids), "key").select("text", "toxic")
+    return docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text")).join(F.broadcast(ids), "key").groupBy("key").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.max("toxic").alias("toxic")).select("text", "toxic")
 
 
 def _candidates(sample: DataFrame) -> DataFrame:
@@ -157,7 +157,7 @@ def trained(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     gain = 2 * (rest(F.col("toxic"), toxic) + rest(F.col("clean"), clean))  # of the log likelihood, if the pattern depends on the label
     weight = F.log((F.col("toxic") + 0.5) / (toxic + 1) / ((F.col("clean") + 0.5) / (clean + 1)))
     rows = _candidates(sample).withColumn("weight", weight).where((gain >= LEAST_GAIN) & (F.col("weight") >= LEAST_WEIGHT))
-    lexicon = chosen([tuple(r) for r in rows.orderBy(F.desc(F.col("toxic") * F.col("weight")), "pattern").limit(LEXICON).select("pattern", "toxic", "weight").collect()])
+    lexicon = chosen([tuple(r) for r in rows.select("pattern", "toxic", "weight").collect()])  # of the sampled texts only
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
 
     def measured(texts: list, toxic: list) -> list:

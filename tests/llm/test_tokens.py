@@ -40,6 +40,30 @@ def test_equals_library_random(codecs, text):
     check(codecs, text)
 
 
+def test_proven_characters_and_others_equal_library(codecs):
+    codec, library, words, word_library = codecs
+    chars = [c for c in map(chr, [*range(0xD800), *range(0xE000, 0x20000)]) if bpe.proven(c)]
+    rnd = np.random.default_rng(6)
+    odd = [chr(int(c)) for c in rnd.integers(0x80, 0x1FFFF, 6000) if not 0xD800 <= c < 0xE000]
+    named = [0x819, 0x89B, 0x730, 0x8D2, 0x8CC, 0xC3C, 0x558, 0x88F, 0x1C89, 0xA7DC, 0x10D50, 0x16EA0, 0x1E6EA, 0x3E737]
+    pairs = ["".join(map(chr, x)) for x in ((0x819, 0x89B), (0x730, 0x8D2), (0x8CC, 0xC3C))]
+    marks = [chr(c) for c in range(0x300, 0x36F)]
+    texts = [f"a{c}b {c} 1{c}!{c} {c}'t {c.upper()}{c.lower()}x" for c in (*chars, *odd, *map(chr, named), *pairs)]
+    texts += [f"e{a}{b}{a} o{b}{rnd.choice(odd)}'ll" for a in marks for b in marks[:: 7]]
+    for own, known, theirs in ((codec.encode, lambda e: e.ids, library), (lambda t: words.encode_all([t])[0], lambda e: e.ids, word_library)):
+        bad = [t for t, e in zip(texts, theirs.encode_batch(texts, add_special_tokens=False), strict=True) if np.frombuffer(own(t), "<u4").tolist() != known(e)]
+        assert not bad, (len(bad), bad[:5])
+
+
+def test_long_texts_in_small_memory(codecs):
+    words = packing.WordIds(open(WORD).read())
+    texts = ["x" * 100_000 + str(i) for i in range(20)]
+    words.encode_all(texts)
+    assert not words.known
+    codec = bpe.ByteBPE(open(BYTE).read())
+    assert all(codec.encode(t) for t in texts) and not any(len(k) > bpe.LONGEST for k in (*codec.known, *codec.chunks))
+
+
 def test_long_word_heap_equals_scan(codecs):
     codec = codecs[0]
     word = "antidisestablishmentarianism" * 4
