@@ -30,6 +30,8 @@ def parser() -> argparse.ArgumentParser:
         else:
             p.add_argument("--checkpoint", required=True)
             p.add_argument("--seconds", type=int, default=2)
+            p.add_argument("--quiet-polls", type=int, default=0)
+            p.add_argument("--validate-every", type=int, default=0)
     p = sub.add_parser("query")
     p.add_argument("--store", required=True)
     p.add_argument("--generation", type=int)
@@ -53,9 +55,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     if args.command == "build":
         head, corpus = store.head(), files.read(spark, args.corpus)
         snapshot = build.incremental(store.load(head), corpus, args.rich) if args.incremental and head is not None else build.full(corpus, args.rich)
-        print(json.dumps({"generation": store.publish(snapshot, head), "index_hash": snapshot.index_hash}))
+        print(json.dumps({"generation": store.publish(snapshot, head), "identity": snapshot.identity}))
     elif args.command == "watch":
-        watching.watch(spark, args.corpus, store, args.checkpoint, args.rich, {"processingTime": f"{args.seconds} seconds"}).awaitTermination()
+        watching.watch(spark, args.corpus, store, args.checkpoint, args.rich, {"processingTime": f"{args.seconds} seconds"}, args.quiet_polls, args.validate_every).awaitTermination()
     elif args.command == "query":
         if store.head() is None:
             print("the store is empty", file=sys.stderr)
@@ -67,7 +69,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         name = next((n for n in LOOKUPS if getattr(args, n) not in (None, "")), None)
         found = getattr(lookup, name)(getattr(args, name), args.limit) if name else lookup.all_docs(args.limit)
         print(json.dumps({"snapshot_id": found.snapshot_id, "generation": found.generation, "total": found.total, "limited": found.limited}))
-        for row in found.records.toJSON().toLocalIterator():
+        for row in found.ordered.toJSON().toLocalIterator():
             print(row)
     elif args.command == "check":
         removed = store.repair() if args.repair else []

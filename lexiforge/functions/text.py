@@ -90,7 +90,7 @@ def is_symbol(token: Column | str) -> Column:
 
 def symbol_mask(tokens_: Column | str) -> Column:
     """For up to eight tokens, bit i set if token i is a symbol."""
-    bits = F.transform(_c(tokens_), lambda t, i: F.when(is_symbol(t), F.pow(F.lit(2.0), i.cast("double")).cast("int")).otherwise(0))
+    bits = F.transform(_c(tokens_), lambda t, i: F.when(is_symbol(t), F.call_function("shiftleft", F.lit(1), i)).otherwise(0))
     return F.aggregate(F.slice(bits, 1, 8), F.lit(0), lambda a, b: a + b)
 
 

@@ -1,4 +1,8 @@
-"""Canonical lines, their total order, and the identities of corpus and index."""
+"""Canonical lines, their total order, and the identities of corpus and index.
+
+content_identity and index_identity are aggregates, made in tasks. discovery_id and identities give the hashes of the canonical
+byte stream, which are serial by definition: they stream all lines through the driver, and only a caller that has to compare with
+an index made elsewhere needs them (plans.build.compatible_hashes)."""
 
 from __future__ import annotations
 
@@ -36,6 +40,27 @@ def canonical_lines(tables: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
+def set_digest(rows: DataFrame, raw: str) -> DataFrame:
+    """One row: n, and a digest of the multiset of a binary column's values, whatever their order and partitions.
+
+    The SHA-256 of every value is added up in four parts modulo 2^64; the sums and the count are hashed. Partial sums leave one row a task."""
+    hashed = rows.select(F.sha2(raw, 256).alias("h"))
+    part = lambda k: F.conv(F.substring("h", 16 * k + 1, 16), 16, 10).cast("decimal(20,0)")
+    sums = hashed.agg(F.count("*").alias("n"), *(F.coalesce(F.sum(part(k)), F.lit(0)).cast("decimal(38,0)").alias(f"s{k}") for k in range(4)))
+    whole = F.concat_ws(" ", F.col("n").cast("string"), *((F.col(f"s{k}") % F.lit(str(1 << 64)).cast("decimal(38,0)")).cast("string") for k in range(4)))
+    return sums.select("n", F.sha2(whole.cast("binary"), 256).alias("digest"))
+
+
+def index_identity(tables: dict[str, DataFrame]) -> str:
+    """The identity of an index: a digest of all canonical lines, made in tasks."""
+    return set_digest(canonical_lines(tables).select(F.col("line").cast("binary").alias("raw")), "raw").first()["digest"]
+
+
+def content_identity(docs: DataFrame) -> str:
+    """The identity of a corpus: a digest of path, size and CRC of every file, made in tasks."""
+    return set_digest(docs.select(F.format_string("%s\n%d\n%08x\n", "path", "size", "crc").cast("binary").alias("raw")), "raw").first()["digest"]
+
+
 def ordered(lines: DataFrame) -> DataFrame:
     return lines.orderBy("rank", "path", "seq")
 

@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.lineage_cut import written
+from .canonical import set_digest
+
 #: Magic bytes and sizes of the three record types (fixed values).
 RELATION, PROVENANCE, COMMIT = ("4D520100", 80), ("4D500100", 112), ("4D430100", 56)
 #: Stands before the records whose hash identifies a result; a parameter.
@@ -73,8 +76,13 @@ def selected(state: DataFrame, target: bytes | None = None, source: bytes | None
     return state
 
 
-def result_identity(state: DataFrame, marker: bytes = RESULT_MARKER) -> str:
-    """SHA-256 of the marker and all records in identity order, streamed."""
+def result_identity(state: DataFrame) -> DataFrame:
+    """result_identity: a digest of the set of all records, made in tasks."""
+    return set_digest(state, "raw").select(F.col("digest").alias("result_identity"))
+
+
+def serial_result_identity(state: DataFrame, marker: bytes = RESULT_MARKER) -> str:
+    """SHA-256 of the marker and all records in identity order, streamed through the driver: serial by definition, for comparison only."""
     import hashlib
 
     h = hashlib.sha256(marker)
@@ -83,6 +91,21 @@ def result_identity(state: DataFrame, marker: bytes = RESULT_MARKER) -> str:
     return h.hexdigest()
 
 
+def checked_commit(relations: DataFrame, commit: DataFrame, provenance: DataFrame | None = None) -> int:
+    """The generation of a decoded commit record, if it fits its relations and provenance records: their numbers, and the generation they name."""
+    head = commit.select("generation", "relations", "provenances").collect()
+    if len(head) != 1:
+        raise ValueError("a commit has one record")
+    generation = int(head[0]["generation"])
+    for rows, want, what in ((relations, head[0]["relations"], "relations"), (provenance, head[0]["provenances"], "provenance records")):
+        if rows is None and not want:
+            continue
+        found = None if rows is None else rows.agg(F.count("*").alias("n"), F.count(F.when(F.col("generation") != generation, 1)).alias("other")).first()
+        if found is None or found["n"] != want or found["other"]:
+            raise ValueError(f"the commit's {what} are not those that it names")
+    return generation
+
+
 class Projection:
     """A disposable relation index: rebuilt from commits or advanced by one, with explicit generations."""
 
@@ -95,14 +118,26 @@ class Projection:
         top = relations.agg(F.max("commit")).first()[0] or 0
         return cls(latest(relations), int(top), int(top))
 
-    def applied(self, relations: DataFrame, generation: int) -> Projection:
+    def applied(self, relations: DataFrame, commit: DataFrame, provenance: DataFrame | None = None) -> Projection:
+        """One commit more: its decoded relations, record and provenance records, which have to fit. The state is written, so plans do not grow."""
+        generation = checked_commit(relations, commit, provenance)
         if generation <= self.through:
             raise ValueError("a commit has to advance the generation")
         new = latest(relations).withColumn("position", F.lit(1))
         old = new.limit(0) if self.state is None else self.state.withColumn("position", F.lit(0))
-        # what a later commit says holds, whatever generation the record itself names
         merged = old.unionByName(new).groupBy(*IDENTITY).agg(F.max_by(F.struct("raw", "generation"), "position").alias("r")).select(*IDENTITY, "r.raw", "r.generation")
-        return Projection(merged, generation, max(self.store, generation))
+        return Projection(written(merged), generation, max(self.store, generation))
+
+    def destroyed(self) -> Projection:
+        """Without state: it is made again from the commits, of which it was only a view."""
+        return Projection(None, 0, self.store)
+
+    def answered(self, generation: int | None = None, target: bytes | None = None, source: bytes | None = None, kind: int | None = None) -> DataFrame:
+        """The state, filtered; an error unless it is complete through the generation asked for (by default the store's)."""
+        want = self.store if generation is None else generation
+        if self.state is None or self.through < want or self.freshness()[0] == "future_invalid":
+            raise ValueError(f"complete through {self.through}, asked for {want}")
+        return selected(self.state, target, source, kind)
 
     def observed(self, generation: int) -> Projection:
         if generation < self.store:

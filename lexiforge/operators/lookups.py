@@ -1,11 +1,13 @@
 """Point, filter and substring queries over the record tables of one snapshot.
 
-Every answer is in canonical order and carries its untruncated total, so a limit never changes what was found.
+Every answer carries its untruncated total, counted when it is asked for, so a limit never changes what was found. Limited
+answers are the first in canonical order; `ordered` sorts the others.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,17 +15,39 @@ from pyspark.sql import functions as F
 
 @dataclass
 class Answer:
-    """records in canonical order; total before the limit; whether it was cut."""
+    """What was found: found without a limit, order is the canonical one."""
 
     snapshot_id: str
     generation: int
-    records: DataFrame
-    total: int
-    limited: bool
+    found: DataFrame
+    order: list[str]
+    limit: int | None
 
+    @property
+    def records(self) -> DataFrame:
+        """The rows, in no order unless there is a limit."""
+        return self.found if self.limit is None else self.ordered
 
-def containing(docs: DataFrame, terms: DataFrame, term: str) -> DataFrame:
-    """Documents with a token that contains the term; with an empty term, those with any token."""
+    @property
+    def ordered(self) -> DataFrame:
+        rows = self.found.orderBy(*self.order)
+        return rows if self.limit is None else rows.limit(self.limit)
+
+    @cached_property
+    def total(self) -> int:
+        return self.found.count()
+
+    @property
+    def limited(self) -> bool:
+        return self.limit is not None and self.total > self.limit
+
+
+def containing(docs: DataFrame, term: str, terms: DataFrame | None = None) -> DataFrame:
+    """Documents with a token that contains the term; with an empty term, those with any token.
+
+    Where docs carry their tokens as an array, each row decides by itself; else terms (path, token) are joined."""
+    if "tokens" in docs.columns:
+        return docs.where(F.exists("tokens", lambda t: F.contains(t, F.lit(term))))
     return docs.join(terms.where(F.contains("token", F.lit(term))).select("path"), "path", "left_semi")
 
 
@@ -35,15 +59,15 @@ def provenance(docs: DataFrame, established: DataFrame, paths: DataFrame) -> Dat
 
 
 class Lookup:
-    """Queries over tables docs, terms, syms, headings, rels, press and established (path, generation)."""
+    """Queries over tables docs, terms, syms, headings, rels, press and established (path, generation).
+
+    docs may have a column tokens, each document's terms; it then serves instead of terms and is left out of answers."""
 
     def __init__(self, tables: dict[str, DataFrame], snapshot_id: str = "", generation: int = 0):
         self.tables, self.snapshot_id, self.generation = tables, snapshot_id, generation
 
     def _answer(self, rows: DataFrame, order: list[str], limit: int | None) -> Answer:
-        total = rows.count()
-        rows = rows.orderBy(*order)
-        return Answer(self.snapshot_id, self.generation, rows if limit is None else rows.limit(limit), total, limit is not None and total > limit)
+        return Answer(self.snapshot_id, self.generation, rows.drop("tokens"), order, limit)
 
     def _docs(self, test: Column | None, limit: int | None) -> Answer:
         docs = self.tables["docs"]
@@ -62,14 +86,14 @@ class Lookup:
         return self._docs(F.col("kind") == kind, limit)
 
     def term_substring(self, term: str, limit: int | None = None) -> Answer:
-        return self._answer(containing(self.tables["docs"], self.tables["terms"], term), ["kind", "path"], limit)
+        return self.match(term=term, limit=limit)
 
     def match(self, kind: int | None = None, digest: str | None = None, term: str | None = None, limit: int | None = None) -> Answer:
         """All conditions that are given, together."""
         docs = self.tables["docs"]
         docs = docs if kind is None else docs.where(F.col("kind") == kind)
         docs = docs if digest is None else docs.where(F.col("digest") == digest)
-        docs = docs if term is None else containing(docs, self.tables["terms"], term)
+        docs = docs if term is None else containing(docs, term, self.tables.get("terms"))
         return self._answer(docs, ["kind", "path"], limit)
 
     def _rels(self, rel: str, column: str, value: str, limit: int | None) -> Answer:

@@ -5,15 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.lineage_cut import cut
+from ..plans.lineage_cut import written
 
 _ROW = (1 << 33) - 1
 
 
 def dense_numbers(df: DataFrame, keys: list[str], name: str = "seq") -> DataFrame:
-    """df with `name`: 0, 1, 2 ... in the order of keys. Rows are range-partitioned and sorted; only a row count for each partition meets in one task."""
+    """df with `name`: 0, 1, 2 ... in the order of keys. Rows are range-partitioned and sorted; only a row count for each partition meets in one task.
+
+    The rows are written first, so that choosing the ranges does not compute them twice."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = cut(df.repartitionByRange(n, *keys).sortWithinPartitions(*keys).withColumn("__row", F.monotonically_increasing_id()))
+    placed = written(written(df).repartitionByRange(n, *keys).sortWithinPartitions(*keys).withColumn("__row", F.monotonically_increasing_id()))
     placed = placed.withColumn("__part", F.shiftright("__row", 33)).withColumn("__row", F.col("__row").bitwiseAND(F.lit(_ROW)))
     sizes = placed.groupBy("__part").agg(F.count("*").alias("__n"))
     before = sizes.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before"))

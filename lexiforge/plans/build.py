@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 
 from ..functions import text as T
 from ..operators import canonical, changes, records
+from .lineage_cut import written
 
 
 @dataclass
@@ -16,26 +17,28 @@ class Snapshot:
 
     tables: dict[str, DataFrame]
     snapshot_id: str
-    index_hash: str
-    fingerprint: str
+    identity: str
     verdicts: DataFrame | None = field(default=None)
 
 
-def _finished(tables: dict[str, DataFrame], marker: str, verdicts: DataFrame | None = None) -> Snapshot:
-    from .lineage_cut import cut
+def _finished(tables: dict[str, DataFrame], verdicts: DataFrame | None = None) -> Snapshot:
+    tables = {name: written(df) for name, df in tables.items()}
+    return Snapshot(tables, canonical.content_identity(tables["docs"]), canonical.index_identity(tables), verdicts)
 
-    tables = {name: cut(df) for name, df in tables.items()}
+
+def compatible_hashes(tables: dict[str, DataFrame], marker: str = canonical.MARKER) -> tuple[str, str, str]:
+    """snapshot_id, index_hash and fingerprint of the canonical byte stream. Serial by definition: all lines pass through the driver."""
     snapshot = canonical.discovery_id(tables["docs"])
-    return Snapshot(tables, snapshot, *canonical.identities(canonical.canonical_lines(tables), snapshot, marker), verdicts)
+    return (snapshot, *canonical.identities(canonical.canonical_lines(tables), snapshot, marker))
 
 
-def full(corpus: DataFrame, rich: bool = False, module_extension: str = T.MODULE_EXTENSION, marker: str = canonical.MARKER) -> Snapshot:
+def full(corpus: DataFrame, rich: bool = False, module_extension: str = T.MODULE_EXTENSION) -> Snapshot:
     files = records.prepared(corpus, module_extension)
     tables = {"docs": records.documents(files), "terms": records.terms(files)}
-    return _finished(tables | records.rich(files) if rich else tables, marker)
+    return _finished(tables | records.rich(files) if rich else tables)
 
 
-def incremental(before: dict[str, DataFrame], corpus: DataFrame, rich: bool = False, module_extension: str = T.MODULE_EXTENSION, marker: str = canonical.MARKER) -> Snapshot:
+def incremental(before: dict[str, DataFrame], corpus: DataFrame, rich: bool = False, module_extension: str = T.MODULE_EXTENSION) -> Snapshot:
     """The same tables and identities as full(corpus), reusing the records of unchanged files. before needs the rich tables if rich."""
     tables, verdicts = changes.updated(before, records.prepared(corpus, module_extension), rich)
-    return _finished(tables, marker, verdicts)
+    return _finished(tables, verdicts)

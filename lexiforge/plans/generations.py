@@ -69,7 +69,7 @@ class Store:
         for name, df in tables.items():
             df.write.parquet(f"file://{staging}/{name}.parquet")
         with open(os.path.join(staging, "manifest.json"), "w") as f:
-            json.dump({"generation": generation, "snapshot_id": snapshot.snapshot_id, "index_hash": snapshot.index_hash, "fingerprint": snapshot.fingerprint, "tables": sorted(tables)}, f)
+            json.dump({"generation": generation, "snapshot_id": snapshot.snapshot_id, "identity": snapshot.identity, "tables": sorted(tables)}, f)
             f.flush()
             os.fsync(f.fileno())
         with self._locked():
@@ -88,11 +88,10 @@ class Store:
     def load(self, generation: int) -> dict[str, DataFrame]:
         return {name: self.spark.read.parquet(f"file://{self._folder(generation)}/{name}.parquet") for name in self.manifest(generation)["tables"]}
 
-    def verified(self, generation: int, marker: str = canonical.MARKER) -> bool:
-        """Whether a generation's tables still have the hash of its manifest."""
-        found, tables = self.manifest(generation), self.load(generation)
-        lines = canonical.canonical_lines({n: t for n, t in tables.items() if n != "established"})
-        return canonical.identities(lines, found["snapshot_id"], marker)[0] == found["index_hash"]
+    def verified(self, generation: int) -> bool:
+        """Whether a generation's tables still have the identity of its manifest."""
+        tables = {n: t for n, t in self.load(generation).items() if n != "established"}
+        return canonical.index_identity(tables) == self.manifest(generation)["identity"]
 
     def lookup(self, generation: int | None = None) -> Lookup:
         """Queries over one generation, by default the current one. It stays the same whatever is published meanwhile."""

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .functions import digests
 from .functions import text as T
 from .operators import canonical, changes, feed, graph, lookups, records
-from .plans.lineage_cut import cut
+from .plans.lineage_cut import written
 from .sources import adapters, files
 
 QUERIES: dict = {}
@@ -149,9 +149,15 @@ def by_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookups.Lookup({"docs": _plain_docs(_files(spark, sf_dir))}).by_kind(2).records
 
 
+def _searched(spark: SparkSession, sf_dir: str, term: str) -> DataFrame:
+    """The document table with its terms as an array. Contents without the term have no such token, so only the others are cut into tokens."""
+    found = _files(spark, sf_dir).where(F.contains(T.latin("content"), F.lit(term)))
+    tokens = F.filter(T.tokens("content"), T.is_symbol).alias("tokens")
+    return found.select("kind", "path", F.octet_length("content").cast("bigint").alias("size"), T.word_count("content").alias("words"), T.line_count("content").alias("lines"), tokens)
+
+
 def _substring(spark: SparkSession, sf_dir: str, term: str) -> DataFrame:
-    found = _files(spark, sf_dir)
-    return lookups.Lookup({"docs": _plain_docs(found), "terms": records.term_rows(found)}).term_substring(term).records
+    return lookups.Lookup({"docs": _searched(spark, sf_dir, term)}).term_substring(term).records
 
 
 @query(f"WITH {_TERMS}, {_DOCS} SELECT * FROM docs WHERE path IN (SELECT path FROM terms WHERE contains(token, 'tion'))")
@@ -166,8 +172,7 @@ def term_substring_long(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_TERMS}, {_DOCS} SELECT * FROM docs WHERE kind = 6 AND path IN (SELECT path FROM terms WHERE contains(token, 'and'))")
 def query_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _files(spark, sf_dir)
-    return lookups.Lookup({"docs": _plain_docs(found), "terms": records.term_rows(found)}).match(kind=6, term="and").records
+    return lookups.Lookup({"docs": _searched(spark, sf_dir, "and")}).match(kind=6, term="and").records
 
 
 @query(f"WITH {_ALL}, {_DOCS} SELECT *, (SELECT count(*) FROM docs) AS total FROM docs ORDER BY kind, path LIMIT 100")
@@ -255,22 +260,22 @@ _BIG = 1 << 40
 
 @query(f"WITH RECURSIVE {_HOPS}, walk AS (SELECT 'ord/order_1.mod' AS node UNION SELECT needed FROM walk JOIN hop ON needs = node) SELECT node FROM walk WHERE node <> 'ord/order_1.mod'")
 def dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.dependencies(cut(_rels(spark, sf_dir)), "ord/order_1.mod").nodes
+    return graph.dependencies(written(_rels(spark, sf_dir)), "ord/order_1.mod").nodes
 
 
 @query(f"WITH RECURSIVE {_HOPS}, walk AS (SELECT 'geo/region_2.mod' AS node UNION SELECT needs FROM walk JOIN hop ON needed = node) SELECT node FROM walk WHERE node <> 'geo/region_2.mod'")
 def transitive_dependents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.dependents(cut(_rels(spark, sf_dir)), "geo/region_2.mod", max_nodes=_BIG).nodes
+    return graph.dependents(written(_rels(spark, sf_dir)), "geo/region_2.mod", max_nodes=_BIG).nodes
 
 
 @query(f"WITH RECURSIVE {_HOPS}, walk AS (SELECT unnest(['geo/nation_1.mod', 'crm/customer_1.mod']) AS node UNION SELECT needs FROM walk JOIN hop ON needed = node) SELECT node FROM walk")
 def invalidation_set(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.invalidated(cut(_rels(spark, sf_dir)), ["geo/nation_1.mod", "crm/customer_1.mod"], max_nodes=_BIG).nodes
+    return graph.invalidated(written(_rels(spark, sf_dir)), ["geo/nation_1.mod", "crm/customer_1.mod"], max_nodes=_BIG).nodes
 
 
 @query()
 def budgeted_dependents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = graph.dependents(cut(_rels(spark, sf_dir)), "geo/region_2.mod", max_depth=4, max_nodes=50)
+    found = graph.dependents(written(_rels(spark, sf_dir)), "geo/region_2.mod", max_depth=4, max_nodes=50)
     return found.nodes.withColumn("truncated", F.lit(found.truncated))
 
 
@@ -279,6 +284,35 @@ def fanout_hubs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.hubs(_rels(spark, sf_dir), 20)
 
 
+@query(f"WITH {_RELS}, old AS ({_duck(adapters.DOCUMENTS)}), new AS ({_duck(adapters.MUTATED)}), changed AS (SELECT coalesce(o.path, n.path) AS node FROM old o FULL JOIN new n ON o.path = n.path WHERE o.text IS DISTINCT FROM n.text), hubs AS (SELECT src AS node FROM (SELECT src, count(*) AS fanout FROM rels WHERE rel = 'depends-on' GROUP BY src ORDER BY fanout DESC, src LIMIT 20)) SELECT coalesce(c.node, h.node) AS node, c.node IS NOT NULL AS changed, h.node IS NOT NULL AS hub FROM changed c FULL JOIN hubs h ON c.node = h.node")
+def invalidation_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where invalidation begins: the files that changed and the files with the most dependencies."""
+    old, new = (records.documents(f) for f in _versions(spark, sf_dir))
+    return graph.invalidation_roots(changes.verdicts(old, new), _rels(spark, sf_dir), 20)
+
+
+@query(f"WITH {_ALL} SELECT split_part(path, '/', 1) AS repository, count(*) AS files, sum(strlen(text))::BIGINT AS bytes FROM files GROUP BY 1")
+def census(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files.census(_files(spark, sf_dir))
+
+
+@query(f"WITH {_ALL}, {_SPLIT}, words AS (SELECT DISTINCT unnest(runs) AS token FROM split) SELECT token, CASE WHEN upper(token) = 'RFC' THEN 1 WHEN upper(token) = 'RFCS' THEN 3 WHEN regexp_full_match(token, '[0-9]{{4}}') THEN 2 ELSE 0 END AS rfc_class, regexp_full_match(token, 'PRESS-[0-9]{{3}}') AS is_press FROM words")
+def token_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = _files(spark, sf_dir).select(F.explode(F.regexp_extract_all(T.latin("content"), F.lit("[A-Za-z0-9_]+"), F.lit(0))).alias("token")).distinct()
+    return words.select("token", T.rfc_class("token").alias("rfc_class"), T.is_press_id("token").alias("is_press"))
+
+
+@query(f"WITH {_KEPT}, firsts AS (SELECT path, lexical[1:8] AS t FROM kept) SELECT path, coalesce(list_sum(list_transform(range(1, len(t) + 1), lambda i: CASE WHEN regexp_full_match(t[i], '[A-Za-z_][A-Za-z0-9_]{{0,31}}') THEN (1 << (i - 1)) ELSE 0 END)), 0)::INT AS mask FROM firsts")
+def symbol_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which of a file's first eight tokens are symbols."""
+    return _files(spark, sf_dir).withColumn("t", T.tokens("content")).select("path", T.symbol_mask("t").alias("mask"))
+
+
+@query("SELECT i::INT AS byte, CASE WHEN i = 10 THEN 1 WHEN i IN (9, 13, 32) THEN 2 WHEN i BETWEEN 48 AND 57 OR i BETWEEN 65 AND 90 OR i BETWEEN 97 AND 122 OR i = 95 THEN 3 ELSE 0 END AS class FROM range(256) t(i)")
+def byte_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.range(256).select(F.col("id").cast("int").alias("byte"), T.byte_class("id").alias("class"))
+
+
 _OLD_NEW = f"old AS ({_duck(adapters.DOCUMENTS)}), new AS ({_duck(adapters.MUTATED)}), sides AS (SELECT coalesce(o.path, n.path) AS path, o.text AS a, n.text AS b, CASE WHEN o.path IS NULL THEN 1 WHEN n.path IS NULL THEN 2 WHEN o.text = n.text THEN 0 ELSE 3 END AS verdict FROM old o FULL JOIN new n ON o.path = n.path)"
 
 
@@ -297,7 +331,7 @@ pairs AS (SELECT g.text, g.one AS old, c.one AS new FROM (SELECT text, min(path)
 SELECT old, new, 'moved' AS kind FROM pairs UNION ALL SELECT path, NULL, 'removed' FROM gone WHERE text NOT IN (SELECT text FROM pairs) UNION ALL SELECT NULL, path, 'added' FROM come WHERE text NOT IN (SELECT text FROM pairs)""")
 def lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
     old, new = _versions(spark, sf_dir)
-    found = cut(changes.verdicts(records.documents(old), records.documents(new)))
+    found = written(changes.verdicts(records.documents(old), records.documents(new)))
     gone = found.where("verdict = 2").select("path", F.col("old_digest").alias("digest"))
     come = found.where("verdict = 1").select("path", F.col("new_digest").alias("digest"))
     return changes.lineage(gone, come).drop("digest")
@@ -362,10 +396,11 @@ def feed_freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("commit").alias("through")).distinct().crossJoin(F.broadcast(top)).select("through", feed.freshness(F.col("through"), F.col("top")).alias("freshness"))
 
 
-@query()
+@query(f"""WITH {_FEED}, hashed AS (SELECT sha256(unhex(raw)) AS h FROM latest WHERE kind = 2),
+parts AS (SELECT count(*) AS n, {', '.join(f"sum(('0x' || substr(h, {16 * k + 1}, 16))::UBIGINT::HUGEINT) % 18446744073709551616::HUGEINT AS s{k}" for k in range(4))} FROM hashed)
+SELECT sha256(n || ' ' || s0 || ' ' || s1 || ' ' || s2 || ' ' || s3) AS result_identity FROM parts""")
 def feed_result_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = feed.result_identity(feed.selected(feed.latest(_relations(spark, sf_dir)), kind=2))
-    return spark.createDataFrame([(found,)], "result_identity string")
+    return feed.result_identity(feed.selected(feed.latest(_relations(spark, sf_dir)), kind=2))
 
 
 @query(f"WITH {_TERMS}, {_DOCS} SELECT (SELECT count(*) FROM docs) AS docs, (SELECT count(*) FROM terms) AS terms, (SELECT sum(size) FROM docs)::BIGINT AS bytes")
@@ -395,11 +430,10 @@ def canonical_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def canonical_index_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _files(spark, sf_dir, adapters.CONVERSATIONS, adapters.MODULES)
-    docs = records.documents(found)
-    snapshot = canonical.discovery_id(docs)
-    lines = cut(canonical.canonical_lines({"docs": docs, "terms": records.terms(found)} | records.rich(found)))
-    return spark.createDataFrame([(snapshot, *canonical.identities(lines, snapshot))], "snapshot_id string, index_hash string, fingerprint string")
+    """The identity of the whole index: an aggregate over the digests of all canonical lines, in whatever partitions they lie."""
+    found = _files(spark, sf_dir)
+    lines = canonical.canonical_lines({"docs": records.documents(found), "terms": records.terms(found)} | records.rich(found))
+    return canonical.set_digest(lines.select(F.col("line").cast("binary").alias("raw")), "raw").select(F.col("n").alias("lines"), F.col("digest").alias("index_identity"))
 
 
 @query("SELECT a.n_name AS a, b.n_name AS b, CASE WHEN a.n_name < b.n_name THEN -1 WHEN a.n_name > b.n_name THEN 1 ELSE 0 END AS compared, (a.n_regionkey, a.n_name, a.n_nationkey) < (b.n_regionkey, b.n_name, b.n_nationkey) AS less, contains(a.n_name, substr(b.n_name, 1, 3)) AS contained FROM nation a JOIN nation b ON a.n_regionkey >= b.n_regionkey")

@@ -30,18 +30,27 @@ def hint(root: str, module_extension: str = T.MODULE_EXTENSION) -> str:
 
 
 class HintReader(SimpleDataSourceStreamReader):
+    """A hint for each change that has stayed the same for quietPolls polls more, and one every validateEvery polls without any."""
+
     def __init__(self, options: dict):
         self.root, self.extension = options["path"], options.get("moduleextension", T.MODULE_EXTENSION)
+        self.quiet, self.validate = int(options.get("quietpolls", 0)), int(options.get("validateevery", 0))
 
     def initialOffset(self) -> dict:
-        return {"hint": ""}
+        return {"hint": "", "pending": "", "still": 0, "polls": 0}
 
     def read(self, start: dict) -> tuple[Iterator[tuple[str]], dict]:
         now = hint(self.root, self.extension)
-        return (iter([(now,)]) if now != start["hint"] else iter([])), {"hint": now}
+        changed = now != start["hint"]
+        still = start["still"] + 1 if changed and now == start["pending"] else 0
+        polls = start["polls"] + 1 if self.validate else 0
+        if (changed and still >= self.quiet) or (self.validate and polls >= self.validate):
+            # a round that validates derives everything from the files, so it also takes up what is pending
+            return iter([(now,)]), {"hint": now, "pending": now, "still": 0, "polls": 0}
+        return iter([]), {"hint": start["hint"], "pending": now, "still": still, "polls": polls}
 
     def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple[str]]:
-        return iter([(end["hint"],)])
+        return iter([(end["hint"],)] if end["polls"] == 0 and end["still"] == 0 and end["hint"] == end["pending"] else [])
 
 
 class HintSource(DataSource):
@@ -62,7 +71,7 @@ def refresh(spark: SparkSession, root: str, store: Store, rich: bool = False, at
         head = store.head()
         corpus = files.read(spark, root)
         snapshot = build.full(corpus, rich) if head is None else build.incremental(store.load(head), corpus, rich)
-        if head is not None and snapshot.index_hash == store.manifest(head)["index_hash"]:
+        if head is not None and snapshot.identity == store.manifest(head)["identity"]:
             return None
         try:
             return store.publish(snapshot, head)
@@ -71,15 +80,18 @@ def refresh(spark: SparkSession, root: str, store: Store, rich: bool = False, at
     raise StaleBase(f"HEAD moved {attempts} times")
 
 
-def watch(spark: SparkSession, root: str, store: Store, checkpoint: str, rich: bool = False, trigger: dict | None = None) -> StreamingQuery:
-    """Keep the store up to date with the folder. trigger: as for a stream writer, by default what is there now, once."""
+def watch(spark: SparkSession, root: str, store: Store, checkpoint: str, rich: bool = False, trigger: dict | None = None, quiet_polls: int = 0, validate_every: int = 0) -> StreamingQuery:
+    """Keep the store up to date with the folder. trigger: as for a stream writer, by default a poll every two seconds.
+
+    quiet_polls: polls for which a change has to stay the same before it is taken up, so that a burst of writes is one generation.
+    validate_every: polls after which all files are read again even if nothing seems to have changed; 0: never."""
     spark.dataSource.register(HintSource)
 
     def batch(hints: DataFrame, _: int) -> None:
         if not hints.isEmpty():
             refresh(spark, root, store, rich)
 
-    stream = spark.readStream.format("corpus_hints").load(root)
+    stream = spark.readStream.format("corpus_hints").option("quietPolls", quiet_polls).option("validateEvery", validate_every).load(root)
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "2 seconds"})).start()
 
 

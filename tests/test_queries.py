@@ -9,7 +9,7 @@ import pytest
 from lexiforge import queries
 
 SF = "/root/testdata/sf0.001"
-QUICK = ["admission_filter", "kind_classification", "doc_stats", "token_digest", "term_extraction", "duplicate_content", "provenance", "headings", "relationships", "change_verdicts", "lineage", "feed_latest", "staged_tier", "canonical_order", "transitive_dependents", "record_less_pairs"]
+QUICK = ["admission_filter", "kind_classification", "doc_stats", "token_digest", "term_extraction", "duplicate_content", "provenance", "headings", "relationships", "change_verdicts", "lineage", "feed_latest", "staged_tier", "canonical_order", "transitive_dependents", "record_less_pairs", "term_substring", "query_match", "invalidation_roots", "invalidation_set", "census", "token_classes", "symbol_masks", "byte_classes", "feed_result_identity"]
 
 
 def plain(v):

@@ -61,7 +61,7 @@ def test_unsafe_path_fails(spark):
 
 
 def test_identity_ignores_partitioning_and_order(spark):
-    found = {build.full(frame(spark, rows, n), rich=True).index_hash for rows, n in ((CORPUS, 1), (CORPUS, 7), (CORPUS[::-1], 3))}
+    found = {build.full(frame(spark, rows, n), rich=True).identity for rows, n in ((CORPUS, 1), (CORPUS, 7), (CORPUS[::-1], 3))}
     assert len(found) == 1
 
 
@@ -77,7 +77,7 @@ def test_incremental_equals_rebuild(spark):
     new = [(p, c + b"fn more\n") if p == "a.mod" else (p, c) for p, c in CORPUS if p != "c.json"] + [("new.md", b"# New\n[l](b.md)\n"), ("moved.txt", b"plain words")]
     before = build.full(frame(spark), rich=True)
     a, b = build.incremental(before.tables, frame(spark, new), rich=True), build.full(frame(spark, new), rich=True)
-    assert (a.index_hash, a.fingerprint, a.snapshot_id) == (b.index_hash, b.fingerprint, b.snapshot_id)
+    assert (a.identity, a.snapshot_id) == (b.identity, b.snapshot_id) and build.compatible_hashes(a.tables) == build.compatible_hashes(b.tables)
     assert {r["path"]: r["verdict"] for r in a.verdicts.collect() if r["verdict"]} == {"a.mod": 3, "c.json": 2, "new.md": 1, "moved.txt": 1}
 
 
@@ -89,4 +89,38 @@ def test_lineage(spark):
 
 def test_empty_corpus(spark):
     snap = build.full(frame(spark, [("x.bin", b"")], 1), rich=True)
-    assert snap.tables["docs"].count() == 0 and len(snap.index_hash) == 64
+    assert snap.tables["docs"].count() == 0 and len(snap.identity) == 64
+
+
+def test_set_digest_sees_every_row_and_no_order(spark):
+    import hashlib
+
+    values = [b"a", b"b", b"b", b"", b"long " * 1000]
+    parts = [int(hashlib.sha256(v).hexdigest(), 16) for v in values]
+    sums = [sum(p >> 192 - 64 * k & (2**64 - 1) for p in parts) % 2**64 for k in range(4)]
+    want = hashlib.sha256(" ".join(map(str, [len(values), *sums])).encode()).hexdigest()
+    make = lambda v, n: canonical.set_digest(spark.createDataFrame([(x,) for x in v], "raw binary").repartition(n), "raw").first()["digest"]
+    assert make(values, 1) == make(values[::-1], 4) == want != make(values[1:], 2)
+
+
+def test_identity_whatever_the_partitions_and_the_adaptive_planner(spark):
+    found, before = set(), {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    try:
+        for n, adaptive in ((1, "true"), (3, "false"), (8, "true")):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+            found.add(build.full(frame(spark, CORPUS, n), rich=True).identity)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(found) == 1
+
+
+def test_small_rules(spark):
+    from pyspark.sql import functions as F
+
+    from lexiforge.functions import text as T
+
+    df = spark.createDataFrame([(a, d, u) for a in (False, True) for d in (1, 2, 3) for u in (0, 1, 2)], "a boolean, d int, u int")
+    got = df.select("a", "d", "u", T.should_visit(F.col("a"), F.col("d"), F.lit(2), F.col("u"), F.lit(2)).alias("v")).collect()
+    assert all(r["v"] == (not r["a"] and r["d"] <= 2 and r["u"] < 2) for r in got)

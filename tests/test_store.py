@@ -40,7 +40,7 @@ def test_publish_load_check_reclaim(spark, tmp_path):
     write(root, c_dot_txt="new words")
     assert watch.refresh(spark, root, store, rich=True) == 1
     assert watch.refresh(spark, root, store, rich=True) is None
-    assert store.manifest(1)["index_hash"] == build.full(files.read(spark, root), rich=True).index_hash
+    assert store.manifest(1)["identity"] == build.full(files.read(spark, root), rich=True).identity
     assert store.check() == [] and store.verified(0)
     found = store.lookup()
     assert found.term_substring("word").total == 1 and found.headings_for("b.md").records.first()["title"] == "B"
@@ -90,16 +90,91 @@ def test_feed(spark):
     state = feed.latest(feed.decoded_relations(df))
     assert sorted(int(r["generation"]) for r in state.collect()) == [1, 3, 2**63 + 5]
     assert feed.selected(state, target=b"x".ljust(12, b".")).count() == 2
-    assert feed.result_identity(state) == feed.result_identity(state.repartition(3))
+    assert feed.result_identity(state).first() == feed.result_identity(state.repartition(3)).first()
+    assert feed.serial_result_identity(state) == feed.serial_result_identity(state.repartition(3))
     with pytest.raises(Exception, match="invalid relation"):
         feed.decoded_relations(spark.createDataFrame([(0, raws[0][:79])], "position long, raw binary")).collect()
     commits = feed.decoded_relations(df.withColumn("commit", df["position"] + 1))
     p = feed.Projection.rebuilt(commits)
     assert p.freshness() == ("complete", True) and p.observed(9).freshness() == ("stale", False)
-    p = p.applied(feed.decoded_relations(spark.createDataFrame([(0, relation(2, b"c", b"y", 7))], "position long, raw binary")), 8)
-    assert p.through == 8 and p.state.count() == 3
+    assert p.answered(4, target=b"x".ljust(12, b".")).count() == 2
+    with pytest.raises(ValueError, match="complete through"):
+        p.observed(9).answered()
+    with pytest.raises(ValueError, match="complete through"):
+        p.destroyed().answered(1)
+
+
+def commit(generation, relations, provenances=0):
+    return b"MC\x01\x00" + generation.to_bytes(8, "big") + b"".join(n.to_bytes(4, "big") for n in (1, relations, provenances)) + bytes(32)
+
+
+def provenance(generation):
+    return b"MP\x01\x00" + b"s" * 12 + b"p" * 12 + b"t" * 12 + generation.to_bytes(8, "big") + bytes(64)
+
+
+def test_commits_are_checked_and_applying_equals_rebuilding(spark):
+    make = lambda decode, raws: decode(spark.createDataFrame(list(enumerate(raws)), "position long, raw binary"))
+    commits = {1: [relation(1, b"a", b"x", 1), relation(2, b"c", b"y", 1)], 2: [relation(1, b"a", b"x", 2)], 5: [relation(1, b"a", b"x", 5, 1), relation(2, b"c", b"y", 5)]}
+    p, every = feed.Projection(), None
+    for g, raws in commits.items():
+        p = p.applied(make(feed.decoded_relations, raws), make(feed.decoded_commits, [commit(g, len(raws))]))
+        rows = make(feed.decoded_relations, raws).selectExpr("*", f"{g} AS commit")
+        every = rows if every is None else every.unionByName(rows)
+    whole = feed.Projection.rebuilt(every)
+    assert (p.through, whole.through) == (5, 5)
+    a, b = (x.state.select(*feed.IDENTITY, "raw", "generation") for x in (p, whole))
+    assert a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty() and a.count() == 3
+    one = make(feed.decoded_relations, [relation(2, b"c", b"y", 7)])
+    found = p.applied(one, make(feed.decoded_commits, [commit(7, 1, 1)]), make(feed.decoded_provenance, [provenance(7)]))
+    assert found.through == 7 and found.state.count() == 3
+    for record, rows in ((commit(8, 1), one), (commit(7, 2), one), (commit(7, 1, 1), one)):  # another generation, another number, no provenance
+        with pytest.raises(ValueError, match="not those"):
+            p.applied(rows, make(feed.decoded_commits, [record]))
     with pytest.raises(ValueError, match="advance"):
-        p.applied(commits, 8)
+        p.applied(make(feed.decoded_relations, [relation(1, b"a", b"x", 5)]), make(feed.decoded_commits, [commit(5, 1)]))
+    row = make(feed.decoded_provenance, [provenance(9)]).first()
+    assert (bytes(row["producer"]), int(row["generation"])) == (b"p" * 12, 9)
+
+
+def test_hints_wait_for_quiet_and_are_repeated_for_validation(tmp_path):
+    write(str(tmp_path), a_dot_txt="one")
+    reader, at, seen = watch.HintReader({"path": str(tmp_path), "quietpolls": "1", "validateevery": "4"}), {}, []
+    at = reader.initialOffset()
+    for step in range(9):
+        if step == 3:
+            write(str(tmp_path), b_dot_txt="two")
+        if step == 4:
+            write(str(tmp_path), c_dot_txt="three")  # still in the burst
+        rows, at = reader.read(at)
+        seen.append(len(list(rows)))
+    assert seen == [0, 1, 0, 0, 0, 1, 0, 0, 0] and reader.read(at)[1]["polls"] == 0  # the fourth poll since the last hint validates
+
+
+def test_a_head_that_moves_is_tried_again(spark, tmp_path, monkeypatch):
+    root, store = str(tmp_path / "c"), Store(spark, str(tmp_path / "s"))
+    write(root, a_dot_txt="one")
+    real, calls = store.publish, []
+
+    def publish(snapshot, base=None):
+        calls.append(base)
+        if len(calls) == 1:
+            raise StaleBase("another one was first")
+        return real(snapshot, base)
+
+    monkeypatch.setattr(store, "publish", publish)
+    assert watch.refresh(spark, root, store) == 0 and len(calls) == 2
+    monkeypatch.setattr(store, "publish", lambda *a: (_ for _ in ()).throw(StaleBase("always")))
+    write(root, b_dot_txt="two")
+    with pytest.raises(StaleBase):
+        watch.refresh(spark, root, store, attempts=2)
+
+
+def test_head_faults_are_found(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"))
+    (tmp_path / "s" / "HEAD").write_text("not json")
+    assert [c for c, _ in store.check()] == ["HEAD_MALFORMED"]
+    (tmp_path / "s" / "HEAD").write_text('{"generation": 3}')
+    assert [c for c, _ in store.check()] == ["HEAD_DANGLING"]
 
 
 def test_feed_stream_equals_batch(spark, tmp_path):
