@@ -235,10 +235,11 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", trai
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), (trains(id_col) if train is None else train).alias("train"))
     placed = ngrams.blocks(own, "doc_id", "text", block_bytes)
 
-    def gathered(block: pa.Table) -> pa.Table:
+    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The block's distinct words and grams, with their counts in its training texts."""
-        counts, own, trained = ngrams.Counts(), [], 0
-        for part in common.pieces(block):
+        counts, own, trained, number = ngrams.Counts(), [], 0, 0
+        for part in (p for batch in batches for p in common.pieces(batch)):
+            number = part.column("__block")[0].as_py()
             texts, learn = [ngrams.joined(t, True) for t in part.column("text").to_pylist()], np.array(part.column("train").to_pylist(), bool)
             words, at, begins = _words(texts)
             own.append(pa.table({"word": words, "n": np.bincount(at, weights=np.repeat(learn, np.diff(begins)), minlength=len(words)).astype(np.int64)}))
@@ -247,18 +248,18 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", trai
                 chosen = [t for t, yes in zip(texts, learn.tolist(), strict=True) if yes == flag]
                 for a, b in ngrams.batches_of(chosen):
                     counts.add(ngrams.grams(chosen[a:b], DEPTH)[0], flag)
-        found = pa.concat_tables(own).group_by("word").aggregate([("n", "sum")])
+        found = pa.concat_tables(own).group_by("word", use_threads=False).aggregate([("n", "sum")])
         found = found.filter(pc.greater(pc.binary_length(found["word"]), 0))  # without the empty word of empty texts
         words = pa.concat_arrays([_column(found, "word", pa.large_binary()), pa.array([END_WORD.encode()], pa.large_binary())])
         n_words = np.append(found["n_sum"].to_numpy(), trained)
+        names = ["__block", "word", "gram", "n"]
+        for at in range(0, len(words), 50_000):
+            part, n = words[at : at + 50_000].cast(pa.large_string()).cast(pa.string()), pa.array(n_words[at : at + 50_000])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), number, np.int32)), part, pa.nulls(len(part), pa.int64()), n], names=names)
         keys, n = counts.merge()
-        number = block.column("__block")[0].as_py()
-        return pa.table({
-            "__block": pa.array(np.full(len(words) + len(keys), number, np.int32)),
-            "word": pa.concat_arrays([words.cast(pa.large_string()).cast(pa.string()), pa.nulls(len(keys), pa.string())]),
-            "gram": pa.concat_arrays([pa.nulls(len(words), pa.int64()), pa.array(keys.astype(np.int64))]),
-            "n": pa.array(np.concatenate([n_words, n.astype(np.int64)])),
-        })
+        for at in range(0, len(keys), 50_000):
+            part = pa.array(keys[at : at + 50_000].astype(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), number, np.int32)), pa.nulls(len(part), pa.string()), part, pa.array(n[at : at + 50_000].astype(np.int64))], names=names)
 
     seen = common.written(placed.groupBy("__block").applyInArrow(gathered, "__block int, word string, gram bigint, n bigint"))
     words = seen.where("word IS NOT NULL").select("__block", "word", "n")
