@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..plans.lineage_cut import cut as checkpointed
 from ..plans.lineage_cut import written
 
-__all__ = ["checkpointed", "map_rows", "pieces", "read_table", "spark_schema", "tokenizer_path", "written"]
+__all__ = ["checkpointed", "lean", "map_rows", "pieces", "read_table", "spark_schema", "tokenizer_path", "written"]
 
 #: Rows and bytes of text that a Python step turns into lists at once; keeps a worker's memory flat whatever the Arrow batch holds.
 ROWS_AT_ONCE, BYTES_AT_ONCE = 2048, 4 << 20
@@ -43,6 +43,23 @@ def pieces(batch: pa.RecordBatch | pa.Table, most_rows: int = ROWS_AT_ONCE, most
         at = end
 
 
+def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run for mapInArrow, giving memory that Arrow has freed back to the system after each batch and at the end, so that idle workers stay small."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pool = pa.default_memory_pool()
+
+        def source() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch
+                pool.release_unused()
+
+        yield from run(source())
+        pool.release_unused()
+
+    return whole
+
+
 def map_rows(df: DataFrame, rows: Callable[..., Iterator | list], schema: str) -> DataFrame:
     """Apply rows(columns...) to column lists of at most ROWS_AT_ONCE rows and about BYTES_AT_ONCE of text; it returns a list of output columns."""
     out = spark_schema(df.sparkSession, schema)
@@ -57,7 +74,7 @@ def map_rows(df: DataFrame, rows: Callable[..., Iterator | list], schema: str) -
                 cols = rows(*(c.to_pylist() for c in part.columns))
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=target.field(n).type) for c, n in zip(cols, names, strict=True)], schema=target)
 
-    return df.mapInArrow(run, out)
+    return df.mapInArrow(lean(run), out)
 
 
 def spark_schema(spark: SparkSession, ddl: str):

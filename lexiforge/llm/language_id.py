@@ -145,7 +145,7 @@ def counts(train: DataFrame, text_col: str, lang_col: str) -> DataFrame:
             at = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at.astype(np.int32)), pa.array(n[at])], schema=target)
 
-    return train.select(text_col, lang_col).mapInArrow(run, schema).groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    return train.select(text_col, lang_col).mapInArrow(common.lean(run), schema).groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
 
 
 def learned(train: DataFrame, text_col: str = "text", lang_col: str = "lang", cells: int = CELLS) -> tuple[list[str], np.ndarray, np.ndarray]:

@@ -117,7 +117,7 @@ def counted(docs: DataFrame, depth: int, text_col: str, train_col: str, lower: b
         for at in range(0, len(keys), 100_000):
             yield pa.RecordBatch.from_arrays([pa.array(keys[at : at + 100_000].astype(np.int64)), pa.array(n[at : at + 100_000])], schema=target)
 
-    return docs.select(text_col, train_col).mapInArrow(run, schema).groupBy("gram").agg(F.sum("n").alias("n"))
+    return docs.select(text_col, train_col).mapInArrow(common.lean(run), schema).groupBy("gram").agg(F.sum("n").alias("n"))
 
 
 class Lookup:
@@ -220,7 +220,7 @@ def summed(docs: DataFrame, table: DataFrame, depth: int, id_col: str, text_col:
                     made.append(Lookup(*shared.value))
                 yield pa.RecordBatch.from_arrays([*batch.columns, *scored(batch, made[0])], names=[*columns, "__sum", "__grams"])
 
-        return docs.mapInArrow(run, schema)
+        return docs.mapInArrow(common.lean(run), schema)
 
     placed = blocks(docs, id_col, text_col)
 

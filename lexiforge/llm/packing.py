@@ -40,7 +40,7 @@ GROUP_WINDOWS = 32
 #: Rows and bytes of text of a block, which is packed by itself.
 BLOCK_ROWS, BLOCK_BYTES = 10_000, 64 << 20
 #: Words whose ids a worker remembers at most, and the longest one remembered.
-REMEMBERED, LONGEST = 700_000, 64
+REMEMBERED, LONGEST = 400_000, 64
 SCHEMA = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, tier int, step_group bigint"
 
 
@@ -230,7 +230,7 @@ def packed(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
             cols = zip(*rows, strict=True) if rows else [[] for _ in target]
             yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(cols, target, strict=True)], schema=target)
 
-    out = docs.select(id_col, text_col).mapInArrow(run, schema)
+    out = docs.select(id_col, text_col).mapInArrow(common.lean(run), schema)
     return out if id_col == "doc_id" else out.withColumnRenamed("doc_id", id_col)
 
 

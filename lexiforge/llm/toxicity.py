@@ -120,7 +120,7 @@ def _candidates(sample: DataFrame) -> DataFrame:
                     yield flushed()
         yield flushed()
 
-    return sample.mapInArrow(run, schema).groupBy("pattern").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    return sample.mapInArrow(common.lean(run), schema).groupBy("pattern").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
 def chosen(rows: list[tuple[str, int, float]]) -> dict[str, float]:
@@ -198,7 +198,7 @@ def kept(docs: DataFrame, model: tuple[dict[str, float], tuple[float, float, flo
                 clean += [score(curve, w, size) < least for w, _, size in measured]
             yield batch.filter(pa.array(clean, pa.bool_()))
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(common.lean(run), schema)
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
