@@ -10,7 +10,7 @@ no task holds more than a block. Within a block
      need no padding;
   4. windows are dealt to step groups of about equal tokens, largest first.
 
-Word ids are remembered per worker; unknown words go through a rank table of the same vocabulary, and texts with
+Word ids are remembered for the length of a task; unknown words go through a rank table of the same vocabulary, and texts with
 characters outside its plain case go through the tokenizers library. Nulls count as empty texts, which hold the
 end id alone. Repeated rows are packed once each. Only id and text are read, so extra columns cannot clash. An empty
 table gives no pieces. Piece, sequence and group numbers depend on how the table is split into partitions, as a packing
@@ -39,7 +39,7 @@ END_ID = 1
 GROUP_WINDOWS = 32
 #: Rows and bytes of text of a block, which is packed by itself.
 BLOCK_ROWS, BLOCK_BYTES = 10_000, 64 << 20
-#: Words whose ids a worker remembers at most, and the longest one remembered.
+#: Words whose ids a task remembers at most, and the longest one remembered.
 REMEMBERED, LONGEST = 400_000, 64
 SCHEMA = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, tier int, step_group bigint"
 
@@ -229,6 +229,7 @@ def packed(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
             group += max(groups, default=-1) + 1
             cols = zip(*rows, strict=True) if rows else [[] for _ in target]
             yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(cols, target, strict=True)], schema=target)
+        words.known = {}  # idle workers stay small beside the next stage
 
     out = docs.select(id_col, text_col).mapInArrow(common.lean(run), schema)
     return out if id_col == "doc_id" else out.withColumnRenamed("doc_id", id_col)
